@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkgauge.llm import dac_tokens, duckdb_bpe, feistel_sharding
+from sparkgauge.llm import dac_tokens, duckdb_bpe, feistel_sharding, language_id, nra_topk
 from sparkgauge.plans.registry import ORACLES, query, table
 
 
@@ -14,6 +14,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op4_mixture_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 @query("op5_dac_tokens")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -29,3 +34,17 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duckdb_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep_ids=False).select(
         "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"
     )
+
+
+@query("op10_nra_topk", """
+with v as (
+  select vec_id, [floor(256 * x::double)::bigint for x in embedding] as e from embeddings
+  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), z -> z[1] * z[2]))::bigint as score from v q, v
+  where q.vec_id % 50 = 0 and q.vec_id <> v.vec_id
+), r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nra_topk.topk(table(spark, sf_dir, "embeddings"), 5, F.col("vec_id") % 50 == 0)
