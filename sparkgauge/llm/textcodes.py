@@ -20,9 +20,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """``BASE**i`` and ``BASE**-i`` modulo 2**64 for i < n."""
     have = _powers.get("p")
     if have is None or len(have[0]) < n:
-        n = max(n, CHUNK_BYTES + 64)
+        most = max(n, CHUNK_BYTES + 64)
         inverse = np.uint64(pow(int(_BASE), -1, 2**64))
-        up, down = np.full(n, _BASE), np.full(n, inverse)
+        up, down = np.full(most, _BASE), np.full(most, inverse)
         up[0] = down[0] = 1
         have = _powers["p"] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
     return have[0][:n], have[1][:n]
