@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkgauge.llm import dac_tokens, duckdb_bpe, feistel_sharding, language_id, ngram_join, nra_topk
+from sparkgauge.llm import dac_tokens, duckdb_bpe, feistel_sharding, fuzzy_lines, language_id, ngram_join, nra_topk
 from sparkgauge.plans.registry import ORACLES, query, table
 
 
@@ -26,6 +26,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac_tokens.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+@query("op7_fuzzy_lines")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fuzzy_lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @query("op8_duckdb_bpe")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
