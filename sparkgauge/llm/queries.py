@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkgauge.llm import dac_tokens, duckdb_bpe, feistel_sharding, fuzzy_lines, language_id, ngram_join, nra_topk
+from sparkgauge.llm import dac_tokens, duckdb_bpe, feistel_sharding, fuzzy_lines, language_id, ngram_join, nra_topk, sanitise
 from sparkgauge.plans.registry import ORACLES, query, table
 
 
@@ -26,6 +26,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac_tokens.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+@query("op6_disclosure_sanitisation")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sanitise.sanitise(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in sanitise.KINDS],
+        F.sha2(sanitise.listed(sanitise.KINDS), 256).alias("base_sha256"), sanitise.listed([*sanitise.KINDS, "term", "gone"]).alias("spans"),
+        F.sha2("sanitised", 256).alias("sanitised_sha256"),
+    )
+
+
 @query("op7_fuzzy_lines")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fuzzy_lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
