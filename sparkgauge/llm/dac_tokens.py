@@ -20,11 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from sparkgauge.llm.pieces import splitter
+from sparkgauge.llm.pieces import Memory, splitter
 from sparkgauge.session import checkpoint_folder
 
 RANK_STEP = 512
-WORDS_KEPT = 600_000
+WORDS_KEPT = 1_000_000
 # The split of the byte-level tokenizer before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -79,7 +79,7 @@ def _tokenizer(path: str):
 
     made = Tokenizer.from_file(path)
     special = [t.content for t in made.get_added_tokens_decoder().values()]
-    return made, special, splitter(PATTERN), {}
+    return made, special, splitter(PATTERN), Memory(WORDS_KEPT)
 
 
 def token_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
@@ -88,24 +88,23 @@ def token_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
     The tokenizer splits a text by PATTERN and encodes the pieces one by one, so a text's ids are its pieces'
     ids.  A text that holds the string of a special token is encoded as a whole.
     """
-    made, special, split, known = _tokenizer(path)
+    made, special, split, memory = _tokenizer(path)
     pieces = [None if any(s in t for s in special) else split(t) for t in (t or "" for t in texts)]
-    met = set().union(*(p for p in pieces if p is not None))
-    new = met - known.keys()
-    if len(known) + len(new) > WORDS_KEPT:
-        known.clear()
-        new = met
-    new = sorted(new)
-    for word, e in zip(new, made.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        known[word] = np.array(e.ids, "<u4").tobytes()
-    return [
-        np.array(made.encode(t, add_special_tokens=False).ids, "<u4") if p is None else np.frombuffer(b"".join([known[w] for w in p]), "<u4")
-        for t, p in zip(texts, pieces, strict=True)
-    ]
+    found = [None if p is None else list(map(memory.young.get, p)) for p in pieces]
+    new = {w for p, f in zip(pieces, found, strict=True) if f and None in f for w, x in zip(p, f, strict=True) if x is None}
+    if new:
+        memory.learn(new, lambda words: [np.array(e.ids, "<u4").tobytes() for e in made.encode_batch_fast(words, add_special_tokens=False)])
+    out = []
+    for text, words, parts in zip(texts, pieces, found, strict=True):
+        if words is None:
+            out.append(np.array(made.encode(text, add_special_tokens=False).ids, "<u4"))
+        else:
+            out.append(np.frombuffer(b"".join([memory.young[w] if x is None else x for w, x in zip(words, parts, strict=True)] if None in parts else parts), "<u4"))
+    return out
 
 
 def encode(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, levels, bitmaps, ranks: each whole text's ids and ``end_id``, packed.
+    """doc_id, n_tokens, levels, bitmaps, ranks: each whole text's ids and ``end_id``, packed; rows keep their order.
 
     A null or empty text has the end id alone; null ids and repeated rows are rows like any other; other columns are not read.
     """
@@ -127,11 +126,15 @@ def encode(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, levels array<binary>, bitmaps array<binary>, ranks array<binary>")
 
 
-def write(encoded: DataFrame, target: str, files: int | None = None) -> None:
-    """Write the table as files that are ranges of doc_id (nulls first), each sorted; one doc_id's rows share a file."""
-    by = F.col("doc_id").asc_nulls_first()
-    dealt = encoded.repartitionByRange(files, by) if files else encoded.repartitionByRange(by)
-    dealt.sortWithinPartitions(by).write.mode("error").parquet(target)
+def write(docs: DataFrame, target: str, path: str, end_id: int, files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write the table as files that are ranges of doc_id (nulls first), each sorted; one doc_id's rows share a file.
+
+    Texts are dealt out before they are encoded: finding the ranges reads its input once more.
+    """
+    by = F.col(id_col).asc_nulls_first()
+    rows = docs.select(id_col, text_col)
+    dealt = rows.repartitionByRange(files, by) if files else rows.repartitionByRange(by)
+    encode(dealt.sortWithinPartitions(by), path, end_id, id_col, text_col).write.mode("error").parquet(target)
 
 
 def read(spark: SparkSession, target: str) -> DataFrame:
@@ -168,5 +171,5 @@ def round_trip(docs: DataFrame, path: str, end_id: int, files: int | None = None
     """
     spark = docs.sparkSession
     target = f"{checkpoint_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    write(encode(docs, path, end_id, **columns), target, files)
+    write(docs, target, path, end_id, files, **columns)
     return read(spark, target)

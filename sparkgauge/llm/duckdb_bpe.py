@@ -17,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sparkgauge.llm.pieces import splitter
+from sparkgauge.llm.pieces import Memory, splitter
 
-WORDS_KEPT = 400_000
+WORDS_KEPT = 800_000
 WORDS_PER_QUERY = 50_000
 BYTES_PER_QUERY = 1_000_000
 
@@ -82,7 +82,7 @@ class Codec:
         int32 = pa.int32()
         self._table("merges", {"l": pa.array(left, int32), "r": pa.array(right, int32), "made": pa.array(made, int32)})
         self._table("vocabulary", {"id": pa.array(ranks.values(), int32), "hex": pa.array([t.hex() for t in ranks])})
-        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.memory = Memory(WORDS_KEPT)
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
@@ -106,22 +106,18 @@ class Codec:
         self._table("id_rows", _positions(sizes) | {"id": ids.flatten()})
         return [bytes.fromhex(x) for x in self._query(DECODE).column("hex").to_pylist()]
 
-    def learn(self, words: set[str]) -> None:
-        new = sorted(words - self.known.keys())
-        if len(self.known) + len(new) > WORDS_KEPT:
-            self.known.clear()
-            new = sorted(words)
-        at = 0
-        while at < len(new):
+    def facts(self, words: list[str]) -> list[tuple[int, str, bytes]]:
+        """Number of ids, ids in decimal joined by commas, decoded bytes."""
+        out, at = [], 0
+        while at < len(words):
             end, size = at, 0
-            while end < len(new) and end - at < WORDS_PER_QUERY and size < BYTES_PER_QUERY:
-                size += len(new[end])
+            while end < len(words) and end - at < WORDS_PER_QUERY and size < BYTES_PER_QUERY:
+                size += len(words[end])
                 end += 1
-            part = new[at:end]
-            ids = self.encode_words(part)
-            for word, own, raw in zip(part, ids.to_pylist(), self.decode_words(ids), strict=True):
-                self.known[word] = (len(own), ",".join(map(str, own)), raw)
+            ids = self.encode_words(words[at:end])
+            out += [(len(own), ",".join(map(str, own)), raw) for own, raw in zip(ids.to_pylist(), self.decode_words(ids), strict=True)]
             at = end
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -140,9 +136,13 @@ def encode_batch(texts: list[str | None], path: str, pattern: str) -> tuple[list
             split.append(c.split(texts[at] or ""))
             size += len(texts[at] or "")
             at += 1
-        c.learn(set().union(*split))
+        known = c.memory.young
+        new = {w for words in split for w in words if w not in known}
+        if new:
+            c.memory.learn(new if len(new) + len(known) <= WORDS_KEPT // 2 else set().union(*split), c.facts)
+            known = c.memory.young
         for words in split:
-            found = [c.known[w] for w in words]
+            found = [known[w] for w in words]
             out[0].append(sum(x[0] for x in found))
             out[1].append(",".join([x[1] for x in found]))
             out[2].append(b"".join([x[2] for x in found]))

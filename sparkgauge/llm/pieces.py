@@ -46,3 +46,19 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     for own, theirs in ((f"[{letters}]", r"[^\W\d_]"), (f"[{numbers}]", r"\d"), (f"[{WHITE}]", r"\s")):
         differ |= set(re.findall(own, everything)) ^ set(re.findall(theirs, everything))
     return lambda text: fast(text) if differ.isdisjoint(text) else full(text)
+
+
+class Memory:
+    """What is known of at most ``kept`` words: what is used stays, what is not used for long goes."""
+
+    def __init__(self, kept: int):
+        self.kept, self.young, self.old = kept, {}, {}
+
+    def learn(self, words: set[str], make: Callable[[list[str]], list]) -> None:
+        """Put all of ``words`` into ``young``; ``make`` is asked for those that are not remembered."""
+        if len(self.young) + len(words) > self.kept // 2:
+            self.old, self.young = self.young, {}
+        again = words & self.old.keys()
+        self.young.update((w, self.old[w]) for w in again)
+        new = sorted(words - again)
+        self.young.update(zip(new, make(new), strict=True))
