@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkgauge.llm import dac_tokens, duckdb_bpe, feistel_sharding, fuzzy_lines, language_id, ngram_join, nra_topk, sanitise
+from sparkgauge.llm import dac_tokens, decontamination, duckdb_bpe, feistel_sharding, fuzzy_lines, language_id, ngram_join, nra_topk, sanitise
 from sparkgauge.plans.registry import ORACLES, query, table
 
 
@@ -14,6 +14,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op3_cgk_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", F.size("items").cast("bigint").alias("n_items"), F.array_join("items", ",").alias("items"))
+
+
 @query("op4_mixture_language_id")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
