@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkgauge.llm import dac_tokens, decontamination, duckdb_bpe, feistel_sharding, fuzzy_lines, language_id, ngram_join, nra_topk, sanitise
+from sparkgauge.llm import dac_tokens, decontamination, duckdb_bpe, feistel_sharding, fuzzy_lines, language_id, ngram_join, nra_topk, sanitise, suffix_dedup
 from sparkgauge.plans.registry import ORACLES, query, table
 
 
+@query("op1_suffix_bucket_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 @query("op2_feistel_shards")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = feistel_sharding.shard(table(spark, sf_dir, "documents"), shards=16)
