@@ -1,9 +1,10 @@
 """Exact order statistics that never need a whole group in one task.
 
-A plain ``row_number() over (partition by g order by v)`` sends a hot group to one task.  Here the
-group is first cut into buckets by a pure, monotone function of the sort key.  Bucket totals are
-small; their running totals give each bucket its offset, and only rows of one bucket are ordered
-together.  Because the bucket is a function of the row alone, recomputed tasks agree.
+Rows first collapse to (group, value, count), combined before the shuffle, so ties cost one row.  A group's values are
+then cut into cells of equal width between its own smallest and largest value; every cell is cut again between the smallest
+and largest value that it really holds, and once more.  So dates, ids and heavy tails spread alike.  Cells are
+numbered in the order of the values; running totals over the cells (a small table) give each cell its first position, and only
+the values of one cell are ordered together.  Nulls among the group keys are keys like any other.
 """
 
 from __future__ import annotations
@@ -12,124 +13,75 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-PER_OCTAVE = 64.0
-_SHIFT = 1_000_000
-
-
-def value_bucket(v: Column) -> Column:
-    """Monotone bucket of a double: ``PER_OCTAVE``-ish log-scale cells on each side of zero."""
-    mag = F.floor(F.log(F.abs(v)) * F.lit(PER_OCTAVE / 0.6931471805599453)).cast("bigint") + F.lit(_SHIFT)
-    return F.when(v == 0, F.lit(0)).when(v > 0, mag).otherwise(-mag).cast("bigint")
-
-
-def _offsets(df: DataFrame, by: Sequence[str], sums: dict[str, Column]) -> DataFrame:
-    """Per (by, bucket) totals turned into the totals of all earlier buckets."""
-    tot = df.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    w = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return tot.select(
-        *by, "_bucket", *[F.coalesce(F.sum(f"_t_{n}").over(w), F.lit(0)).alias(f"_o_{n}") for n in sums]
-    )
+WIDTH = 256
+LEVELS = 3
+
+
+def _group(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    return df.withColumn("_g", F.struct(*[F.col(b) for b in by]) if by else F.struct(F.lit(1).alias("all")))
+
+
+def cells(df: DataFrame, value: str) -> DataFrame:
+    """Add ``_cell`` to rows with ``_g``: rising with the value; NaN comes last, infinities lie outermost."""
+    v = F.col(value).cast("double")
+    side = F.when(F.isnan(v), 2).when(v == float("inf"), 1).when(v == float("-inf"), -1).otherwise(0)
+    df = df.withColumn("_cell", side.cast("bigint"))
+    finite = F.when(side == 0, v)
+    for _ in range(LEVELS):
+        ends = df.groupBy("_g", "_cell").agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
+        # halves, so that the width of the widest cell does not overflow
+        share = (v / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+        inside = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(share * WIDTH), F.lit(WIDTH - 1))).otherwise(F.lit(0))
+        df = df.join(ends, ["_g", "_cell"]).withColumn("_cell", F.col("_cell") * WIDTH + inside).drop("_lo", "_hi")
+    return df
+
+
+def collapsed(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """_g, _v, _c: distinct non-null values of each group and their weights (whole numbers; others fail)."""
+    if weight is not None and df.schema[weight].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError("weights must be integers")
+    w = F.col(weight).cast("bigint") if weight else F.lit(1)
+    return _group(df, by).where(F.col(value).isNotNull()).groupBy("_g", F.col(value).cast("double").alias("_v")).agg(F.sum(w).alias("_c"))
+
+
+def running(dist: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """Inclusive running sums within ``_g`` in the order of ``_v`` for a table with one row a value."""
+    held = cells(dist, "_v")
+    total = held.groupBy("_g", "_cell").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    before = Window.partitionBy("_g").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    base = total.select("_g", "_cell", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    here = Window.partitionBy("_g", "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    out = held.join(base, ["_g", "_cell"])
+    for n, c in sums.items():
+        out = out.withColumn(n, F.col(f"_o_{n}") + F.sum(c).over(here))
+    return out.drop("_cell", *[f"_o_{n}" for n in sums])
 
 
-def running_sums(
-    df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Column], sums: dict[str, Column]
-) -> DataFrame:
-    """Add inclusive running sums within ``by`` in ``order``.
+def percentiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], weight: str | None = None, rule: str = "linear") -> DataFrame:
+    """Exact percentiles per group, one column per entry of ``probs``; a group without a value has nulls.
 
-    ``bucket`` must not decrease along ``order``.  ``by`` and the bucket must be non-null.
-    """
-    b = df.withColumn("_bucket", bucket)
-    off = _offsets(b, by, sums)
-    w = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = b.join(off, [*by, "_bucket"])
-    for n, c in sums.items():
-        out = out.withColumn(n, F.col(f"_o_{n}") + F.sum(c).over(w))
-    return out.drop("_bucket", *[f"_o_{n}" for n in sums])
-
-
-def rank_rows(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Column], name: str = "rn") -> DataFrame:
-    """``row_number`` within ``by`` (may be empty: a global number) without one task per group."""
-    keys = list(by) or ["_all"]
-    base = df if by else df.withColumn("_all", F.lit(1))
-    b = base.withColumn("_bucket", bucket)
-    off = _offsets(b, keys, {"n": F.lit(1)})
-    w = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    out = b.join(off, [*keys, "_bucket"]).withColumn(name, (F.col("_o_n") + F.row_number().over(w)).cast("bigint"))
-    return out.drop("_bucket", "_o_n", "_all")
-
-
-def percentiles(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    weight: str | None = None,
-    rule: str = "linear",
-) -> DataFrame:
-    """Exact percentiles per group, one column per entry of ``probs``.
-
-    1. rows collapse to (group, value, count) — combined before the shuffle;
-    2. counts per (group, bucket) give every bucket's first position;
-    3. only the buckets that hold a wanted position are ordered.
-
-    ``rule="linear"`` interpolates at ``p*(n-1)``; ``rule="index"`` takes the element at
-    ``floor(p*n)`` (capped at the last), the form several reports use.
+    ``rule="linear"`` interpolates at ``p*(n-1)``; ``rule="index"`` takes the element at ``floor(p*n)`` (the last at most).
     """
-    keys = list(by) or ["_all"]
-    base = (df if by else df.withColumn("_all", F.lit(1))).where(F.col(value).isNotNull())
-    wt = F.col(weight) if weight else F.lit(1)
-    dist = (
-        base.select(*keys, F.col(value).cast("double").alias("_v"), wt.cast("bigint").alias("_w"))
-        .groupBy(*keys, "_v").agg(F.sum("_w").alias("_c"))
-        .withColumn("_bucket", value_bucket(F.col("_v")))
-    )
-    hist = dist.groupBy(*keys, "_bucket").agg(F.sum("_c").alias("_n"))
-    wg = Window.partitionBy(*keys)
-    run = wg.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.select(
-        *keys, "_bucket", "_n",
-        F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_base"),
-        F.sum("_n").over(wg).alias("_total"),
-    )
-    wanted = []
-    for name, p in probs.items():
-        if rule == "linear":
-            pos = F.lit(float(p)) * (F.col("_total") - 1)
-            wanted += [(name, "lo", F.floor(pos)), (name, "hi", F.ceil(pos))]
-        else:
-            wanted.append((name, "lo", F.least(F.floor(F.lit(float(p)) * F.col("_total")), F.col("_total") - 1)))
-    targets = F.array(*[
-        F.struct(F.lit(f"{n}\x1f{side}").alias("tag"), k.cast("bigint").alias("pos")) for n, side, k in wanted
-    ])
-    hit = (
-        hist.select(*keys, "_bucket", "_base", "_n", "_total", F.explode(targets).alias("t"))
-        .where((F.col("t.pos") >= F.col("_base")) & (F.col("t.pos") < F.col("_base") + F.col("_n")))
-        .groupBy(*keys, "_bucket", "_base", "_total").agg(F.collect_list("t").alias("_want"))
-    )
-    w = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    found = (
-        dist.join(hit, [*keys, "_bucket"])
-        .withColumn("_end", F.col("_base") + F.sum("_c").over(w))
-        .withColumn("t", F.explode(F.filter(
-            "_want", lambda t: (t["pos"] >= F.col("_end") - F.col("_c")) & (t["pos"] < F.col("_end")))))
-    )
-    aggs = [F.first("_total").alias("_total")]
-    for n, side, _ in wanted:
-        aggs.append(F.max(F.when(F.col("t.tag") == f"{n}\x1f{side}", F.col("_v"))).alias(f"_{side}_{n}"))
-    got = found.groupBy(*keys).agg(*aggs)
-    cols = []
+    if rule not in ("linear", "index"):
+        raise ValueError(f"unknown rule {rule}")
+    run = running(collapsed(df, by, value, weight), {"_end": F.col("_c")})
+    total = run.groupBy("_g").agg(F.max("_end").alias("_n"))
+    run = run.join(total, "_g")
+    aggs = []
     for name, p in probs.items():
-        if rule == "linear":
-            pos = F.lit(float(p)) * (F.col("_total") - 1)
-            lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-            cols.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-        else:
-            cols.append(F.col(f"_lo_{name}").alias(name))
-    return got.select(*[k for k in keys if by], *cols)
+        pos = F.lit(float(p)) * (F.col("_n") - 1) if rule == "linear" else F.least(F.floor(F.lit(float(p)) * F.col("_n")), F.col("_n") - 1)
+        at = lambda k: F.max(F.when((F.col("_end") - F.col("_c") <= k) & (k < F.col("_end")), F.col("_v")))
+        lo, hi = at(F.floor(pos)), at(F.ceil(pos))
+        part = F.max(pos - F.floor(pos))
+        aggs.append(F.when(part == 0, lo).otherwise(lo + (hi - lo) * part).alias(name) if rule == "linear" else lo.alias(name))
+    got = run.groupBy("_g").agg(*aggs)
+    groups = _group(df, by).select("_g").distinct()
+    return groups.join(got, "_g", "left").select(*[F.col("_g")[b].alias(b) for b in by], *probs)
 
 
 def average_ranks(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
-    """Table ``by, value -> average rank`` (ties share their mean rank)."""
-    cnt = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    run = running_sums(cnt, by, value_bucket(F.col(value)), [F.col(value)], {"_end": F.col("_c")})
-    return run.select(*by, value, (F.col("_end") - (F.col("_c") - 1) / 2.0).alias(name))
+    """``df`` with the rank of ``value`` within ``by`` (ties share their mean rank; null has none)."""
+    run = running(collapsed(df, by, value), {"_end": F.col("_c")})
+    ranks = run.select("_g", F.col("_v").alias("_rv"), (F.col("_end") - (F.col("_c") - 1) / 2.0).alias(name))
+    keyed = _group(df, by).withColumn("_rv", F.col(value).cast("double"))
+    return keyed.join(ranks, ["_g", "_rv"], "left").drop("_g", "_rv")

@@ -8,22 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """Folder used for checkpoints.
+    """Folder used for checkpoints and written steps: the one that the context already uses, else the shared folder that
+    ``spark.checkpoint.dir`` names.
 
-    The shared folder named by ``spark.checkpoint.dir`` wins.  Only a local-mode session may
-    fall back to a folder of its own; on a cluster a missing setting is an error, because a
-    machine-local folder would be lost with its executor.
+    On a cluster a missing setting is an error.  A local-mode session without one, as in tests, where the driver is the only
+    machine, gets a folder of its own.
     """
     sc = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(shared)
-        return shared
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+            shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        sc.setCheckpointDir(shared)
     return sc.getCheckpointDir()
 
 
