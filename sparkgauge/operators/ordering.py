@@ -85,3 +85,13 @@ def average_ranks(df: DataFrame, by: Sequence[str], value: str, name: str) -> Da
     ranks = run.select("_g", F.col("_v").alias("_rv"), (F.col("_end") - (F.col("_c") - 1) / 2.0).alias(name))
     keyed = _group(df, by).withColumn("_rv", F.col(value).cast("double"))
     return keyed.join(ranks, ["_g", "_rv"], "left").drop("_g", "_rv")
+
+
+def rank_rows(df: DataFrame, by: Sequence[str], value: str, ties: Sequence[str], name: str = "rn") -> DataFrame:
+    """``row_number`` within ``by`` in the order (value, ties), without one task per group; nulls of ``value`` get none."""
+    held = cells(_group(df, by).where(F.col(value).isNotNull()), value)
+    total = held.groupBy("_g", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_g").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    base = total.select("_g", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    here = Window.partitionBy("_g", "_cell").orderBy(value, *ties)
+    return held.join(base, ["_g", "_cell"]).withColumn(name, (F.col("_o") + F.row_number().over(here)).cast("bigint")).drop("_g", "_cell", "_o")
