@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sparkgauge.session import cut
+
 WIDTH = 256
 LEVELS = 3
 
@@ -64,7 +66,7 @@ def percentiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, f
     """
     if rule not in ("linear", "index"):
         raise ValueError(f"unknown rule {rule}")
-    run = running(collapsed(df, by, value, weight), {"_end": F.col("_c")})
+    run = running(cut(collapsed(df, by, value, weight)), {"_end": F.col("_c")})
     total = run.groupBy("_g").agg(F.max("_end").alias("_n"))
     run = run.join(total, "_g")
     aggs = []
@@ -80,7 +82,11 @@ def percentiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, f
 
 
 def average_ranks(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
-    """``df`` with the rank of ``value`` within ``by`` (ties share their mean rank; null has none)."""
+    """``df`` with the rank of ``value`` within ``by`` (ties share their mean rank; null has none).
+
+    The rows are checkpointed: they meet their ranks by value, and a floating-point sum computed twice may differ in its last digit.
+    """
+    df = cut(df)
     run = running(collapsed(df, by, value), {"_end": F.col("_c")})
     ranks = run.select("_g", F.col("_v").alias("_rv"), (F.col("_end") - (F.col("_c") - 1) / 2.0).alias(name))
     keyed = _group(df, by).withColumn("_rv", F.col(value).cast("double"))
