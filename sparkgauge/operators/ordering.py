@@ -1,8 +1,8 @@
 """Exact order statistics that never need a whole group in one task.
 
 Rows first collapse to (group, value, count), combined before the shuffle, so ties cost one row.  A group's values are
-then cut into cells of equal width between its own smallest and largest value; every cell is cut again between the smallest
-and largest value that it really holds, and once more.  So dates, ids and heavy tails spread alike.  Cells are
+then cut into cells by magnitude; every cell is cut into cells of equal width between the smallest and largest value that it
+really holds, and these again, and once more.  So dates, ids and heavy tails spread alike.  Cells are
 numbered in the order of the values; running totals over the cells (a small table) give each cell its first position, and only
 the values of one cell are ordered together.  Nulls among the group keys are keys like any other.
 """
@@ -26,9 +26,11 @@ def _group(df: DataFrame, by: Sequence[str]) -> DataFrame:
 def cells(df: DataFrame, value: str) -> DataFrame:
     """Add ``_cell`` to rows with ``_g``: rising with the value; NaN comes last, infinities lie outermost."""
     v = F.col(value).cast("double")
-    side = F.when(F.isnan(v), 2).when(v == float("inf"), 1).when(v == float("-inf"), -1).otherwise(0)
-    df = df.withColumn("_cell", side.cast("bigint"))
-    finite = F.when(side == 0, v)
+    finite = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+    # a quarter of an octave on either side of zero first, for values of many magnitudes
+    size = F.floor(F.log2(F.abs(v)) * 4) + 8192
+    first = F.when(F.isnan(v), 30000).when(v == float("inf"), 20000).when(v == float("-inf"), -20000).when(v == 0, 0).when(v > 0, size).otherwise(-size)
+    df = df.withColumn("_cell", first.cast("bigint"))
     for _ in range(LEVELS):
         ends = df.groupBy("_g", "_cell").agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
         # halves, so that the width of the widest cell does not overflow

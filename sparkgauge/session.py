@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +41,15 @@ def stored(df: DataFrame) -> DataFrame:
     target = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(target)
     return df.sparkSession.read.parquet(target)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Within it, Python workers get at most ``rows`` rows at a time: for stages whose rows hold several whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
