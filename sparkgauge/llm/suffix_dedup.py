@@ -121,6 +121,8 @@ def repeats(contexts: list[bytes], doc: np.ndarray, start: np.ndarray, length: i
     lead = np.maximum.accumulate(np.where(first, np.arange(len(b)), 0))  # the first window of each bucket
     again = (doc[row] != doc[row[lead]]) | (begin != begin[lead])
     row, begin = row[again], begin[again]
+    if not len(row):
+        return lo, hi
     order = np.lexsort((begin, row))
     row, begin = row[order], begin[order]
     have, at = np.unique(row, return_index=True)
@@ -130,7 +132,11 @@ def repeats(contexts: list[bytes], doc: np.ndarray, start: np.ndarray, length: i
 
 
 def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
-    """h, x1, pos: anchors of every text; texts that a chunk holds twice are read once."""
+    """h, x1, pos, known: anchors of every text; texts that a chunk holds twice are read once.
+
+    Of the anchors that share a q-gram within a chunk two look for others in its bucket, the rest are ``known`` to be shared:
+    a q-gram that a third of the documents hold fills its bucket with two rows a chunk.
+    """
 
     def run(batches):
         for batch in batches:
@@ -143,11 +149,15 @@ def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
                 owner = np.searchsorted(own - own[0], pos, side="right") - 1
                 keep = np.isin(owner, once)
                 pos, h, owner = pos[keep], h[keep], owner[keep]
+                order = np.argsort(h, kind="stable")
+                known = np.zeros(len(h), bool)
+                known[order[2:]] = (h[order[2:]] == h[order[1:-1]]) & (h[order[2:]] == h[order[:-2]])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(x1[lo:hi][owner]), pa.array((pos - (own - own[0])[owner]).astype(np.int32))], names=["h", "x1", "pos"]
+                    [pa.array(h.view(np.int64)), pa.array(x1[lo:hi][owner]), pa.array((pos - (own - own[0])[owner]).astype(np.int32)), pa.array(known)],
+                    names=["h", "x1", "pos", "known"],
                 )
 
-    return rows.select("text", "x1").mapInArrow(run, "h bigint, x1 bigint, pos int")
+    return rows.select("text", "x1").mapInArrow(run, "h bigint, x1 bigint, pos int, known boolean")
 
 
 def _context_rows(rows: DataFrame, length: int) -> DataFrame:
@@ -242,8 +252,9 @@ def dedup_substrings(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
 
     place = Window.partitionBy("h")
     point = F.xxhash64("x1", "pos")
-    shared = _anchor_rows(rows.where(F.col("n") >= length), length).repartition("h").withColumns({"least": F.min(point).over(place), "most": F.max(point).over(place)})
-    places = shared.where("least <> most").groupBy("x1").agg(F.collect_set("pos").alias("places"))  # of one text
+    found = _anchor_rows(rows.where(F.col("n") >= length), length).withColumn("h", F.when(F.col("known"), point).otherwise(F.col("h")))
+    shared = found.repartition("h").withColumns({"least": F.min(point).over(place), "most": F.max(point).over(place)})
+    places = shared.where("known or least <> most").groupBy("x1").agg(F.collect_set("pos").alias("places"))  # of one text
     wanted = firsts.join(places, "x1").select(F.col("first").alias("id"), "x1", "places")
     dealt = rows.select("id", "x1", "text")
     contexts = _context_rows(dealt.join(wanted, ["id", "x1"]).select("id", "x1", "text", "places"), length)
