@@ -63,22 +63,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OP9_SQL = """
-with recursive d as (
-  select doc_id, list_filter(regexp_split_to_array(regexp_replace(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[ \\x09-\\x0D]+', ' ', 'g'), ' '), x -> x <> '') as w
-  from documents
-), s as (
-  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
-    else list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) end as g from d
-), e as (select doc_id, len(g)::bigint as n, unnest(g) as x from s),
-p as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c from e a join e b using (x) where a.doc_id <> b.doc_id group by 1, 2),
-k as (select a, b from p where 100 * c >= 75 * (na + nb - c)),
-r(doc_id, c) as (select doc_id, doc_id from s union select k.b, r.c from r join k on k.a = r.doc_id)
-select s.doc_id, len(s.g)::bigint as n_shingles, (select min(c) from r where r.doc_id = s.doc_id) as component_id from s
-"""
-
-
-@query("op9_ngram_jaccard_join", OP9_SQL)
+@query("op9_ngram_jaccard_join")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -86,9 +71,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_nra_topk", """
 with v as (
   select vec_id, [floor(256 * x::double)::bigint for x in embedding] as e from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
-  select q.vec_id as query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), z -> z[1] * z[2]))::bigint as score from v q, v
+  select q.vec_id as query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2]))::bigint as score from v q, v
   where q.vec_id % 50 = 0 and q.vec_id <> v.vec_id
 ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5
