@@ -7,8 +7,8 @@ Jaccard t share one of those.  Accumulated counts below the bound that the two s
 what is left is verified on the whole texts.
 
 The result is connectivity, so a group of copies need not be multiplied out: documents with equal sets are
-one class; then, in a few rounds, the documents that share a minimum hash are compared with one hub of theirs
-and joined where they link.  The product then leaves out entries inside a component, which cannot change the result.
+one class; then the documents that share a minimum hash are compared with one hub of theirs and joined where they
+link.  The product then leaves out entries inside a component, which cannot change the result.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from sparkgauge.llm.textcodes import Words, chunks, mix, shingle_hashes, utf8
 from sparkgauge.operators.components import components
-from sparkgauge.session import cut
+from sparkgauge.session import arrow_rows, cut, stored
 
 HUB_ROUNDS, HUBS = 3, 6
 FREQUENT_SHARE = 5e-4  # columns of a larger share of the documents are ordered last
 NO_ID = -(2**63)
+PAIR_ROWS = 128  # pairs of whole texts that a worker holds at a time
+BROADCAST_IDS = 200_000  # ids of texts to fetch that are broadcast; more are shuffled
 
 
 def _sets(batch_text: pa.Array, n: int):
@@ -142,6 +144,9 @@ def incidence(rows: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray,
 def linked(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole texts link: 100 * intersection >= percent * union."""
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ends = stored(ends)
+    if ends.count() <= BROADCAST_IDS:
+        ends = F.broadcast(ends)
     texts = rows.join(ends, "id", "left_semi")
     both = (
         pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
@@ -190,20 +195,22 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
     reps = member.where(F.col("id") == F.col("rep")).select("id", "n_shingles", "least")
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
-    links, labels = None, None
-    for r in range(HUB_ROUNDS):
-        slots = F.array(*[F.struct(F.lit(k).alias("slot"), F.col("least")[k].alias("value")) for k in range(r * HUBS, (r + 1) * HUBS)])
-        now = reps if labels is None else _with_component(reps, labels)
-        keyed = now.select("id", "n_shingles", *(["component"] if labels is not None else []), F.explode(slots).alias("key"))
-        hub = F.struct(F.xxhash64("id", F.lit(r)).alias("o"), F.col("id").alias("hub"), F.col("n_shingles").alias("size"), (F.col("component") if labels is not None else F.col("id")).alias("comp"))
-        hubs = keyed.groupBy("key").agg(F.min(hub).alias("h"))
-        met = keyed.join(hubs, "key").where((F.col("id") != F.col("h.hub")) & near(F.col("n_shingles"), F.col("h.size")))
-        if labels is not None:
-            met = met.where(F.col("component") != F.col("h.comp"))
-        pairs = cut(met.select(F.least("id", "h.hub").alias("a"), F.greatest("id", "h.hub").alias("b")).distinct())
-        found = cut(linked(pairs, rows, n, percent))
-        links = found if links is None else links.union(found)
-        labels = components(links)
+    # hubs: in each group of one minimum hash the first document by a hash order, which the slots of a round share
+    slots = F.array(*[F.struct(F.lit(k).alias("slot"), F.col("least")[k].alias("value")) for k in range(HUB_ROUNDS * HUBS)])
+    keyed = reps.select("id", "n_shingles", F.explode(slots).alias("key"))
+    order = F.xxhash64("id", F.call_function("div", F.col("key.slot"), F.lit(HUBS)))
+    hubs = keyed.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("hub"), F.col("n_shingles").alias("size"))).alias("h"))
+    met = keyed.join(hubs, "key").where((F.col("id") != F.col("h.hub")) & near(F.col("n_shingles"), F.col("h.size")))
+    met = met.select(F.least("id", "h.hub").alias("a"), F.greatest("id", "h.hub").alias("b")).distinct()
+    # only pairs whose minimum hashes often agree are worth their texts here; the product below finds the others
+    own = lambda c: reps.select(F.col("id").alias(c), F.col("least").alias(f"least_{c}"))
+    agree = F.size(F.filter(F.zip_with("least_a", "least_b", lambda x, y: x == y), lambda x: x))
+    met = met.join(own("a"), "a").join(own("b"), "b").where(100 * agree >= (percent - 30) * HUB_ROUNDS * HUBS).select("a", "b")
+    spark = docs.sparkSession
+    met = stored(met)
+    with arrow_rows(spark, PAIR_ROWS):
+        links = cut(linked(met, rows, n, percent))
+    labels = components(links)
 
     frequent = frequent_columns(rows, n, total)
     entries = incidence(rows, n, percent, frequent).repartition("h")
@@ -219,8 +226,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
     # of a document's entries after its first columns at most ceil(t n) - 1 can be shared
     need = F.ceil((F.col("n_shingles_a") + F.col("n_shingles_b")) * F.lit(percent) / F.lit(100.0 + percent) - 1e-9)
     rest = F.ceil(F.greatest("n_shingles_a", "n_shingles_b") * F.lit(percent) / 100.0 - 1e-9) - 1
-    pairs = cut(product.where(F.col("overlap") + rest >= need).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
-    links = links.union(linked(pairs, rows, n, percent)).union(edges)
+    pairs = stored(product.where(F.col("overlap") + rest >= need).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
+    with arrow_rows(spark, PAIR_ROWS):
+        links = links.union(cut(linked(pairs, rows, n, percent))).union(edges)
     labels = components(links)
     sizes = known.groupBy("id").agg(F.max("n_shingles").alias("n_shingles"))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
