@@ -49,7 +49,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_fuzzy_lines")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fuzzy_lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    out = fuzzy_lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), radius=None, counts=True)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
