@@ -5,6 +5,10 @@ merge table, finds each word's pair of least rank (the leftmost of equals), cont
 word has a pair left.  An ordered aggregation puts the ids of a word in a list and its tokens' bytes in a
 string, which is how ids are decoded.  Words repeat, so a worker remembers what it has encoded, up to
 ``WORDS_KEPT`` words; forgetting changes no result.
+
+A step of the query contracts one pair of a word and gives all of its rows again, so its work grows with the square of a
+word's bytes.  Words of more than ``LONG_BYTES`` bytes are therefore contracted outside DuckDB, by the same rule with a heap of
+pairs, in n log n steps; no length is refused.
 """
 
 from __future__ import annotations
@@ -12,6 +16,8 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +28,7 @@ from sparkgauge.llm.pieces import Memory, splitter
 WORDS_KEPT = 800_000
 WORDS_PER_QUERY = 50_000
 BYTES_PER_QUERY = 1_000_000
+LONG_BYTES = 4096  # positions of shorter words fit the 20 bits that they have in the packed number
 
 # (position, next position and rank are packed in one number, so that one min() finds the leftmost pair)
 ENCODE = """
@@ -50,7 +57,6 @@ DECODE = """
 select i.w, string_agg(v.hex, '' order by i.pos) as hex
 from id_rows i join vocabulary v on v.id = i.id group by i.w order by i.w
 """
-WORD_BYTES = 2**20 - 1  # positions are 20 bits wide in the packed number
 
 
 def _positions(sizes: np.ndarray) -> dict:
@@ -60,6 +66,10 @@ def _positions(sizes: np.ndarray) -> dict:
     return {"w": w, "pos": pos.astype(np.int32)}
 
 
+def _long(word: str) -> bool:
+    return len(word) * 4 > LONG_BYTES and len(word.encode()) > LONG_BYTES
+
+
 class Codec:
     """Merge table and vocabulary of one rank file, held in a DuckDB of the worker's own process."""
 
@@ -79,6 +89,8 @@ class Codec:
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.split = splitter(pattern)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.merged = {a << 32 | b: c for a, b, c in zip(left, right, made, strict=True)}
+        self.token = {rank: token for token, rank in ranks.items()}
         int32 = pa.int32()
         self._table("merges", {"l": pa.array(left, int32), "r": pa.array(right, int32), "made": pa.array(made, int32)})
         self._table("vocabulary", {"id": pa.array(ranks.values(), int32), "hex": pa.array([t.hex() for t in ranks])})
@@ -93,11 +105,9 @@ class Codec:
         return self.db.sql(sql).to_arrow_table()
 
     def encode_words(self, words: list[str]) -> pa.ListArray:
-        """Ids of each word (pieces of the pattern, not empty)."""
+        """Ids of each word (pieces of the pattern, not empty, of ``LONG_BYTES`` at most)."""
         raw = [w.encode() for w in words]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        if len(raw) and sizes.max() > WORD_BYTES:
-            raise ValueError("a single word of more than 2**20 bytes")
         self._table("start_rows", _positions(sizes) | {"id": self.single[np.frombuffer(b"".join(raw), np.uint8)]})
         return self._query(ENCODE).column("ids").combine_chunks()
 
@@ -106,12 +116,35 @@ class Codec:
         self._table("id_rows", _positions(sizes) | {"id": ids.flatten()})
         return [bytes.fromhex(x) for x in self._query(DECODE).column("hex").to_pylist()]
 
+    def encode_long(self, raw: bytes) -> array:
+        """Ids of one word of any length: the pair of least rank, the leftmost of equals, is contracted until none is left."""
+        ids, n, merged = array("i", self.single[np.frombuffer(raw, np.uint8)].tolist()), len(raw), self.merged
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        heap = [made << 40 | i for i in range(n - 1) if (made := merged.get(ids[i] << 32 | ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            made, i = divmod(heapq.heappop(heap), 1 << 40)
+            if ids[i] < 0 or (j := after[i]) == n or merged.get(ids[i] << 32 | ids[j]) != made:
+                continue  # one of its tokens has been contracted since
+            ids[i], ids[j], after[i] = made, -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for at in (before[i], i):
+                if at >= 0 and after[at] < n and (rank := merged.get(ids[at] << 32 | ids[after[at]])) is not None:
+                    heapq.heappush(heap, rank << 40 | at)
+        return array("i", (x for x in ids if x >= 0))
+
     def facts(self, words: list[str]) -> list[tuple[int, str, bytes]]:
         """Number of ids, ids in decimal joined by commas, decoded bytes."""
         out, at = [], 0
         while at < len(words):
             end, size = at, 0
-            while end < len(words) and end - at < WORDS_PER_QUERY and size < BYTES_PER_QUERY:
+            if _long(words[at]):
+                long = self.encode_long(words[at].encode())
+                out.append((len(long), ",".join(map(str, long)), b"".join(map(self.token.__getitem__, long))))
+                at += 1
+                continue
+            while end < len(words) and end - at < WORDS_PER_QUERY and size < BYTES_PER_QUERY and not _long(words[end]):
                 size += len(words[end])
                 end += 1
             ids = self.encode_words(words[at:end])
