@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkgauge.llm import dac_tokens, decontamination, duckdb_bpe, feistel_sharding, fuzzy_lines, language_id, ngram_join, nra_topk, sanitise, suffix_dedup
+from sparkgauge.llm import dac_tokens, decontamination, duckdb_bpe, feistel_sharding, fuzzy_lines, language_id, ngram_join, nra_topk, sanitise, suffix_dedup, token_alignment
 from sparkgauge.plans.registry import ORACLES, query, table
 
 
@@ -80,3 +80,10 @@ select query_id, rank, vec_id, score from r where rank <= 5
 """)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nra_topk.topk(table(spark, sf_dir, "embeddings"), 5, F.col("vec_id") % 50 == 0)
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
