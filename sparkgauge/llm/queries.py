@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkgauge.llm import dac_tokens, decontamination, duckdb_bpe, feistel_sharding, fuzzy_lines, language_id, ngram_join, nra_topk, sanitise, suffix_dedup, token_alignment
+from sparkgauge.llm import dac_tokens, decontamination, duckdb_bpe, feistel_sharding, fuzzy_lines, language_id, ngram_join, nra_topk, prefix_trie, sanitise, suffix_dedup, token_alignment
 from sparkgauge.plans.registry import ORACLES, query, table
 
 
@@ -82,6 +82,46 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nra_topk.topk(table(spark, sf_dir, "embeddings"), 5, F.col("vec_id") % 50 == 0)
 
 
+@query("op12_prefix_trie", """
+with told as (
+  select conv_id as c, sha256(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as said, length(coalesce(text, ''))::bigint as size,
+    row_number() over (partition by conv_id order by turn nulls first) as k
+  from conversations where conv_id is not null
+), ids as (
+  select c, c - c % 100 as kin, xor(4294967295, list_reduce(
+    flatten(list_transform(range(1, length(c::varchar) + 1), lambda i: [ascii(substr(c::varchar, i::int, 1))::bigint, 0, 0, 0, 0, 0, 0, 0])),
+    lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1)), 4294967295)) % 6 as h
+  from (select distinct c from told)
+), path as (
+  select i.c, t.k, t.said, t.size from ids i join told t on t.c = i.kin and t.k <= i.h
+  union all
+  select i.c, t.k - i.h + (select count(*) from told b where b.c = i.kin and b.k <= i.h), t.said, t.size from ids i join told t on t.c = i.c and t.k > i.h
+), prefixes as (
+  select c, 0::bigint as d, '' as key, 0::bigint as size from ids
+  union all
+  select c, k, string_agg(said, ',') over (partition by c order by k), size from path
+), nodes as (
+  select d, key, min(c) as least, count(*) as n, any_value(size) as size from prefixes group by d, key
+), final as (select c, max(d) as d from prefixes group by c),
+ends as (
+  select p.d, p.key, string_agg(p.c::varchar, ',' order by p.c) as ids from prefixes p join final f on f.c = p.c and f.d = p.d group by p.d, p.key
+), kin as (
+  select n.d, n.key, count(m.key) as children, min(u.least) as parent
+  from nodes n left join nodes m on m.d = n.d + 1 and (n.d = 0 or starts_with(m.key, n.key || ',') )
+  left join nodes u on u.d = n.d - 1 and (u.d = 0 or starts_with(n.key, u.key || ','))
+  group by n.d, n.key
+), below as (
+  select a.d, a.key, sum((n.n - 1) * n.size) as saved, count(*) filter (k.children = 0) as leaves
+  from nodes n join kin k on k.d = n.d and k.key = n.key join prefixes a on a.c = n.least and a.d <= n.d group by a.d, a.key
+)
+select n.least as conv_id, n.d as depth, k.parent as parent_conv_id, n.n as n_convs, k.children as n_children, b.leaves as n_leaves,
+  b.saved::bigint as saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256
+from nodes n join kin k on k.d = n.d and k.key = n.key join below b on b.d = n.d and b.key = n.key left join ends e on e.d = n.d and e.key = n.key
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 @query("op13_token_alignment")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
