@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkgauge.llm import dac_tokens, decontamination, duckdb_bpe, feistel_sharding, fuzzy_lines, language_id, ngram_join, nra_topk, prefix_trie, sanitise, suffix_dedup, token_alignment
+from sparkgauge.llm import dac_tokens, decontamination, duckdb_bpe, feistel_sharding, fuzzy_lines, language_id, license_scan, ngram_join, nra_topk, prefix_trie, sanitise, suffix_dedup, token_alignment
 from sparkgauge.plans.registry import ORACLES, query, table
 
 
@@ -82,6 +82,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nra_topk.topk(table(spark, sf_dir, "embeddings"), 5, F.col("vec_id") % 50 == 0)
 
 
+@query("op11_license_scan")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), spans=False)
+
+
 @query("op12_prefix_trie", """
 with told as (
   select conv_id as c, sha256(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as said, length(coalesce(text, ''))::bigint as size,
