@@ -32,7 +32,7 @@ from sparkgauge.llm.pieces import WHITE, Memory
 from sparkgauge.session import stored
 
 CHUNK_BYTES = 4_000_000
-UNITS_KEPT = 600_000
+UNITS_KEPT = 500_000
 NO_TOKENS = (-1, 0, 0, 0, b"", "")
 
 
@@ -156,6 +156,21 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.diff(total[np.concatenate([[0], ends])])
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Small numbers as compressed byte planes."""
+    import zstandard
+
+    planes = np.ascontiguousarray(numbers.astype(np.int32).view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
+
+
 def _distinct(keys: np.ndarray) -> np.ndarray:
     keys = np.sort(keys)
     return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
@@ -198,8 +213,7 @@ def chunk_row(tokenizers: Pair, texts: list[str | None]) -> dict:
     per_doc = {name: _sums(facts[units, k], ends) for k, name in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
     used = docs > 0  # units of texts without tokens count for nothing
     return per_doc | {
-        "groups_sha256": shas, "unit": units.tobytes(), "unit_end": ends.tobytes(), "link": at.astype(np.int32).tobytes(),
-        "link_end": link_end.astype(np.int32).tobytes(), "place": np.flatnonzero(used), "pair": ids[used], "docs": docs[used],
+        "groups_sha256": shas, "unit": _packed(units), "unit_end": _packed(ends), "link": _packed(at), "link_end": _packed(link_end), "place": np.flatnonzero(used), "pair": ids[used], "docs": docs[used],
     }
 
 
@@ -255,7 +269,7 @@ def chunked(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int = CHUNK_
 
 def _totals(chunks: pa.Table, counts: pa.Table) -> pa.Table:
     """Rows of the documents of one chunk (one row of ``chunks``) with the sums of their links' counts."""
-    unit, ends, link, link_end = (np.frombuffer(chunks.column(k)[0].as_py(), np.int32) for k in CHUNK)
+    unit, ends, link, link_end = (_unpacked(chunks.column(k)[0].as_py()) for k in CHUNK)
     place = counts.column("place").to_numpy()
     size = int(max(link.max(initial=-1), place.max(initial=-1))) + 1
     sums = []
