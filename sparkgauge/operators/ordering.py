@@ -1,10 +1,10 @@
 """Exact order statistics that never need a whole group in one task.
 
 Rows first collapse to (group, value, count), combined before the shuffle, so ties cost one row.  A group's values are
-then cut into cells by magnitude; every cell is cut into cells of equal width between the smallest and largest value that it
-really holds, and these again, and once more.  So dates, ids and heavy tails spread alike.  Cells are
-numbered in the order of the values; running totals over the cells (a small table) give each cell its first position, and only
-the values of one cell are ordered together.  Nulls among the group keys are keys like any other.
+then cut into cells by magnitude, and cells that hold too many rows into cells of equal width between the smallest and
+largest value that they really hold, until none does.  So dates, ids and heavy tails spread alike.  Cells are
+numbered in the order of the values; running totals over the cells (a small table) give each cell its first position, and only the values of one cell are ordered together.  The rows are stored before they are cut and each level's cells are a stored
+table of their own, so a level reads its input once.  Nulls among the group keys are keys like any other.
 """
 
 from __future__ import annotations
@@ -13,10 +13,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sparkgauge.session import cut
+from sparkgauge.session import cut, stored
 
 WIDTH = 256
-LEVELS = 3
+LEVELS = 5  # cell numbers stay within 64 bits
+CELL_ROWS = 8192
+SHARE = 64  # cells of a small table are cut down to one part in so many, at least to so many rows
 
 
 def _group(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -24,19 +26,27 @@ def _group(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def cells(df: DataFrame, value: str) -> DataFrame:
-    """Add ``_cell`` to rows with ``_g``: rising with the value; NaN comes last, infinities lie outermost."""
+    """Add ``_cell`` to rows with ``_g``: rising with the value; NaN comes last, infinities lie outermost.
+
+    The result reads a stored copy of ``df``.
+    """
     v = F.col(value).cast("double")
     finite = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
     # a quarter of an octave on either side of zero first, for values of many magnitudes
     size = F.floor(F.log2(F.abs(v)) * 4) + 8192
     first = F.when(F.isnan(v), 30000).when(v == float("inf"), 20000).when(v == float("-inf"), -20000).when(v == 0, 0).when(v > 0, size).otherwise(-size)
-    df = df.withColumn("_cell", first.cast("bigint"))
+    df = stored(df.withColumn("_cell", first.cast("bigint")))
+    most = min(CELL_ROWS, max(SHARE, df.count() // SHARE))
     for _ in range(LEVELS):
-        ends = df.groupBy("_g", "_cell").agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
+        wide = df.groupBy("_g", "_cell").agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"), F.count(F.lit(1)).alias("_rows"))
+        wide = stored(wide.where((F.col("_rows") > most) & (F.col("_hi") > F.col("_lo"))).select(F.col("_g").alias("_wg"), F.col("_cell").alias("_wc"), "_lo", "_hi"))
+        if not wide.limit(1).count():
+            break
         # halves, so that the width of the widest cell does not overflow
         share = (v / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
-        inside = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(share * WIDTH), F.lit(WIDTH - 1))).otherwise(F.lit(0))
-        df = df.join(ends, ["_g", "_cell"]).withColumn("_cell", F.col("_cell") * WIDTH + inside).drop("_lo", "_hi")
+        inside = F.coalesce(F.least(F.floor(share * WIDTH), F.lit(WIDTH - 1)), F.lit(0))
+        df = df.join(wide, F.col("_g").eqNullSafe(F.col("_wg")) & (F.col("_cell") == F.col("_wc")), "left")
+        df = df.withColumn("_cell", F.col("_cell") * WIDTH + inside).drop("_wg", "_wc", "_lo", "_hi")
     return df
 
 
@@ -68,7 +78,7 @@ def percentiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, f
     """
     if rule not in ("linear", "index"):
         raise ValueError(f"unknown rule {rule}")
-    run = running(cut(collapsed(df, by, value, weight)), {"_end": F.col("_c")})
+    run = running(collapsed(df, by, value, weight), {"_end": F.col("_c")})
     total = run.groupBy("_g").agg(F.max("_end").alias("_n"))
     run = run.join(total, "_g")
     aggs = []

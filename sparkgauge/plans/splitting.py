@@ -92,7 +92,7 @@ def _audit_sql(stage, source):
 @query("split_audit", f"with recursive {CAT}, {FUSED}, catf as (select cat.*, fused from cat join fuse using (grp)), {_split_sql('s', 'cat', 'grp')}, {_split_sql('t', 'catf', 'fused')}, before_ as (select cat.*, part from cat join s using (grp)), after_ as (select catf.*, part from catf join t using (fused)) {_audit_sql('before', 'before_')} union all {_audit_sql('after', 'after_')}")
 def split_audit(spark, d):
     """Split by group, audit, fuse the groups that share content, split again, audit again."""
-    docs = catalogue(spark, d)
+    docs = stored(catalogue(spark, d))
     before = docs.join(partitioned(docs, "grp").select("grp", "partition"), "grp")
     fused = docs.join(g.fused_keys(docs, "grp", "content"), "grp")
     after = fused.join(partitioned(fused, "fused").select("fused", "partition"), "fused")
