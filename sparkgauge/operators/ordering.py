@@ -25,10 +25,10 @@ def _group(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.withColumn("_g", F.struct(*[F.col(b) for b in by]) if by else F.struct(F.lit(1).alias("all")))
 
 
-def cells(df: DataFrame, value: str) -> DataFrame:
+def cells(df: DataFrame, value: str, most: int | None = None) -> DataFrame:
     """Add ``_cell`` to rows with ``_g``: rising with the value; NaN comes last, infinities lie outermost.
 
-    The result reads a stored copy of ``df``.
+    Cells hold ``most`` rows at most, but for equal values.  The result reads a stored copy of ``df``.
     """
     v = F.col(value).cast("double")
     finite = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
@@ -36,7 +36,7 @@ def cells(df: DataFrame, value: str) -> DataFrame:
     size = F.floor(F.log2(F.abs(v)) * 4) + 8192
     first = F.when(F.isnan(v), 30000).when(v == float("inf"), 20000).when(v == float("-inf"), -20000).when(v == 0, 0).when(v > 0, size).otherwise(-size)
     df = stored(df.withColumn("_cell", first.cast("bigint")))
-    most = min(CELL_ROWS, max(SHARE, df.count() // SHARE))
+    most = most or min(CELL_ROWS, max(SHARE, df.count() // SHARE))
     for _ in range(LEVELS):
         wide = df.groupBy("_g", "_cell").agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"), F.count(F.lit(1)).alias("_rows"))
         wide = stored(wide.where((F.col("_rows") > most) & (F.col("_hi") > F.col("_lo"))).select(F.col("_g").alias("_wg"), F.col("_cell").alias("_wc"), "_lo", "_hi"))

@@ -1,4 +1,4 @@
-"""Ranking metrics (R1-R8) and resampled intervals."""
+"""Ranking metrics (R1-R8) and the draw table of resampled groups."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkgauge import vocabulary as v
-from sparkgauge.functions.hashing import hash52, unit
-from sparkgauge.operators.ordering import running
+from sparkgauge.functions.hashing import hash52
+from sparkgauge.operators.ordering import rank_rows, running
 
 
 def greedy_match(items: DataFrame, detections: str, truths: str, overlap, thresholds: Sequence[float] = tuple(v.OVERLAP_THRESHOLDS)) -> DataFrame:
@@ -70,34 +70,11 @@ def threshold_sweep(dets: DataFrame, truths: DataFrame, by: Sequence[str], thres
     return out.select(*by, "threshold", "tp", (F.col("n") - F.col("tp")).alias("fp"), (F.col("n_gt") - F.col("tp")).alias("fn"), (F.col("tp") / F.nullif(F.col("n_gt"), F.lit(0))).alias("recall"), (F.col("tp") / F.nullif(F.col("n"), F.lit(0))).alias("precision"))
 
 
-# Cumulative probabilities of a Poisson variable of mean 1, up to 9.
-POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402, 0.9999998885745217]
-
-
-def poisson_weight(u: Column) -> Column:
-    return sum((F.when(u >= p, 1).otherwise(0) for p in POISSON[1:]), F.when(u >= POISSON[0], 1).otherwise(0))
-
-
-def interval(reps: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Percentile limits over the replicates; undefined ones are dropped and the valid ones counted."""
-    return reps.groupBy(*by).agg(F.count(value).alias("valid"), F.percentile(value, 0.025).alias("lo"), F.percentile(value, 0.975).alias("hi"))
-
-
-def bootstrap_items(df: DataFrame, by: Sequence[str], key: str, value: str, replicates: int, seed) -> DataFrame:
-    """Naive bootstrap of the mean: each row has a Poisson(1) weight in each replicate, summed before the shuffle."""
-    rows = df.select(*by, key, value, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    w = poisson_weight(unit(seed, "rep", key))
-    reps = rows.withColumn("w", w).groupBy(*by, "rep").agg((F.sum(F.col("w") * F.col(value)) / F.nullif(F.sum("w"), F.lit(0))).alias("stat"))
-    return interval(reps, by, "stat")
-
-
 def draws(groups: DataFrame, group: str, replicates: int, seed) -> DataFrame:
     """rep, group, w: multiplicities of groups drawn with replacement; shared by all runs and arms.
 
     Draw i of replicate b takes group number hash(seed, b, i) mod G; groups are numbered in the order of their key.
     """
-    from sparkgauge.operators.ordering import rank_rows
-
     numbered = rank_rows(groups.select(group).distinct(), [], group, [], "_no")
     n = numbered.count()
     picks = numbered.select((F.col("_no") - 1).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))

@@ -5,33 +5,58 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkgauge.functions.hashing import hash52_sql
-from sparkgauge.operators import ranking as r
-from sparkgauge.operators.stats import ccc
+from sparkgauge.operators import ranking as r, resample
+from sparkgauge.operators.ordering import percentiles
 from sparkgauge.plans.registry import query, table
+from sparkgauge.session import stored
 
 R6 = lambda c: F.round(c, 6)
-B = 40
+B = resample.REPLICATES
+GROUP = 8  # neighbouring vectors are one group
 THRESHOLDS = [0, 2000, 4000, 8000, 16000]
 
 
+def scored(spark, d):
+    """vec_id, grp, label, config, seed, cls, score: every vector against the sum of every class.
+
+    The first and the second half of the components are two configurations, their odd and even components two runs of each.
+    """
+    e = table(spark, d, "embeddings").select(
+        "vec_id", "label", F.size("embedding").alias("size"),
+        F.posexplode(F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))).alias("i", "x"),
+    )
+    half = F.call_function("div", F.col("size"), F.lit(2))
+    e = e.select("vec_id", "label", F.when(F.col("i") < half, "first").otherwise("second").alias("config"), ((F.col("i") + 1) % 2).alias("seed"), "i", "x")
+    by = ["config", "seed", "cls"]
+    sums = e.where("label is not null").groupBy("config", "seed", F.col("label").alias("cls"), "i").agg(F.sum("x").alias("c"))
+    sums = sums.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("i", "c"))).alias("c"))
+    own = e.groupBy("vec_id", "label", "config", "seed").agg(F.collect_list(F.struct("i", "x")).alias("v"))
+    part = F.transform("v", lambda t: t["x"] * F.coalesce(F.col("c")[t["i"]], F.lit(0)))
+    score = F.aggregate(part, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return own.join(sums, ["config", "seed"]).select("vec_id", F.call_function("div", F.col("vec_id"), F.lit(GROUP)).alias("grp"), "label", *by, score.alias("score"))
+
+
 def detections(spark, d):
-    """config, class, score, tp: every vector half against every class; 10 classes a vector."""
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("e"))
-    halves = F.array(F.struct(F.lit("first").alias("config"), F.slice("e", 1, 32).alias("v")), F.struct(F.lit("second").alias("config"), F.slice("e", 33, 32).alias("v")))
-    h = e.select("vec_id", "label", F.explode(halves).alias("h")).select("vec_id", "label", "h.config", "h.v")
-    sums = h.groupBy("config", F.col("label").alias("cls")).agg(F.array(*[F.sum(F.col("v")[k]) for k in range(32)]).alias("c"))
-    score = F.aggregate(F.zip_with("v", "c", lambda x, y: x * y), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return h.join(sums, "config").select("config", "cls", score.alias("score"), F.when(F.col("label") == F.col("cls"), 1).otherwise(0).alias("tp"))
+    """config, cls, score, tp: every vector half against every class, stored once for all that is read from it."""
+    half = scored(spark, d).groupBy("vec_id", "label", "config", "cls").agg(F.sum("score").alias("score"))
+    return stored(half.select("config", "cls", "score", F.when(F.col("label") == F.col("cls"), 1).otherwise(0).alias("tp")))
+
+
+def best_class(spark, d):
+    """vec_id, grp, config, seed, score, tp: the class of the highest score of each vector and run, the smaller of equals."""
+    best = scored(spark, d).groupBy("vec_id", "grp", "label", "config", "seed").agg(F.max(F.struct("score", (-F.col("cls")).alias("o"))).alias("b"))
+    return stored(best.select("vec_id", "grp", "config", "seed", F.col("b.score").alias("score"), F.when(F.col("label") == -F.col("b.o"), 1).otherwise(0).alias("tp")))
 
 
 def truths(dets):
     return dets.groupBy("config", "cls").agg(F.sum("tp").alias("n_gt"))
 
 
-DET = """e as (select vec_id, label, list_transform(embedding, lambda x: floor(x::double * 256)::bigint) as e from embeddings),
-h as (select vec_id, label, 'first' as config, e[1:32] as v from e union all select vec_id, label, 'second', e[33:64] from e),
-u as (select vec_id, label, config, unnest(v) as x, unnest(range(1, 33)) as i from h), sm as (select config, label as cls, i, sum(x)::bigint as c from u group by all),
-det as (select vec_id, u.config, cls, sum(x * c)::bigint as score, (max(label) = cls)::int as tp from u join sm on sm.config = u.config and sm.i = u.i group by vec_id, u.config, cls),
+SCORED = f"""e as (select vec_id, vec_id // {GROUP} as grp, label, list_transform(embedding, lambda x: floor(x::double * 256)::bigint) as e from embeddings),
+u as (select vec_id, grp, label, case when i <= len(e) // 2 then 'first' else 'second' end as config, i % 2 as seed, i, x from (select *, unnest(e) as x, unnest(range(1, len(e) + 1)) as i from e)),
+sm as (select config, seed, label as cls, i, sum(x)::bigint as c from u where label is not null group by all),
+sc as (select vec_id, grp, max(label) as label, u.config, u.seed, cls, sum(x * c)::bigint as score from u join sm on sm.config = u.config and sm.i = u.i group by vec_id, grp, u.config, u.seed, cls)"""
+DET = SCORED + """, det as (select vec_id, config, cls, sum(score)::bigint as score, (max(label) = cls)::int as tp from sc group by vec_id, config, cls),
 gt as (select config, cls, sum(tp)::bigint as n_gt from det group by 1, 2)"""
 AP = DET + """, ds as (select config, cls, score, sum(tp) as t, count(*) as n from det group by 1, 2, 3),
 cu as (select config, cls, sum(t) over w as ctp, sum(n) over w as cn from ds window w as (partition by config, cls order by score desc)),
@@ -95,60 +120,109 @@ def r8(spark, d):
     return i.join(table(spark, d, "orders"), F.col("k") == F.col("o_orderkey")).groupBy(F.col("o_orderpriority").alias("arm"), band.alias("band")).agg(F.count(F.lit(1)).alias("n"), R6(F.avg("iou")).alias("mean_iou"), R6(F.avg(F.when(F.col("iou") > 0, 1).otherwise(0))).alias("recall"))
 
 
-def _limits(df, by):
-    return df.select(*by, "valid", R6("lo").alias("lo"), R6("hi").alias("hi"))
+def _limits(df, by, *more):
+    return df.select(*by, *more, "valid", R6("lo").alias("lo"), R6("hi").alias("hi"))
 
 
 LIMITS = "count(stat) as valid, round(quantile_cont(stat, 0.025), 6) as lo, round(quantile_cont(stat, 0.975), 6) as hi"
-WEIGHT = " + ".join(f"(u >= {p})::int" for p in r.POISSON)
+STEPS = 40  # the twin's Poisson table: enough for counts of up to a dozen equal rows
+POISSON = f"""p as (select c, list_transform(range(0, {STEPS}), lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(j * ln(c) - c - lgamma(j + 1))))) as cdf from (select distinct c from k))"""
+LINES = f"""l as (select rep, {hash52_sql(7, "'a'", 'rep')} % {resample.PRIME - 1} + 1 as a, {hash52_sql(7, "'z'", 'rep')} % {resample.PRIME} as z from (select unnest(range(0, {B})) as rep))"""
+WEIGHT = " + ".join(f"(u >= s{k})::int" for k in range(STEPS))
 
 
-@query("r9_bootstrap_items", f"with x as (select event_type, value, rep, {hash52_sql(7, 'rep', 'event_id')} / 4503599627370496.0::double as u from events, (select unnest(range(0, {B})) as rep) r), s as (select event_type, rep, sum(({WEIGHT}) * value) / nullif(sum({WEIGHT}), 0) as stat from x group by 1, 2) select event_type, {LIMITS} from s group by 1")
+@query("r9_bootstrap_items", f"""with k as (select event_type, value, count(*) as c from events where value is not null group by 1, 2), {POISSON}, {LINES},
+x as (select event_type, value, {", ".join(f"cdf[{k + 1}] as s{k}" for k in range(STEPS))}, {hash52_sql(7, '(round_even(value * 1e6, 0)::bigint)', '(0::bigint)')} % {resample.PRIME} as x from k join p using (c)),
+y as (select *, ((x * a + z) % {resample.PRIME}) / {resample.PRIME}::double as u from x, l),
+s as (select event_type, rep, sum(({WEIGHT}) * value) / nullif(sum({WEIGHT}), 0) as stat from y group by 1, 2), o as (select event_type, round(avg(value), 6) as obs from events group by 1)
+select event_type, any_value(obs) as obs, {LIMITS} from s join o using (event_type) group by 1""")
 def r9(spark, d):
-    return _limits(r.bootstrap_items(table(spark, d, "events"), ["event_type"], "event_id", "value", B, 7), ["event_type"])
+    return _limits(resample.bootstrap_mean(table(spark, d, "events"), ["event_type"], "value", B, 7), ["event_type"], R6("obs").alias("obs"))
 
 
-DRAWS = f"""g as (select user_id, row_number() over (order by user_id) as no from (select distinct user_id from events)), n as (select count(*) as n from g),
-w as (select rep, g.user_id, count(*) as w from (select rep, {hash52_sql(11, 'rep', '(no - 1)')} % n + 1 as no from g, n, (select unnest(range(0, {B})) as rep) r) p join g using (no) group by 1, 2)"""
-SUMS = "s as (select user_id, event_id % 5 as run, event_type, sum(value) as v, count(*) as c from events group by all)"
+def _best_sql(unit):
+    """The runs' detections, one a vector, the draws of ``unit`` and the AP of each run and replicate."""
+    return f"""{SCORED}, det as (select vec_id, grp, config, seed, score, (label = cls)::int as tp from (select *, row_number() over (partition by vec_id, config, seed order by score desc, cls) as rk from sc) where rk = 1),
+{_ap_sql('', 'grp', 11)}, obs as (select config, seed, sum(p * (k - below)) / 101 as ap from (
+  select config, seed, k, max(p) over w as p, lead(k, 1, -1) over w as below from (
+    select config, seed, (ct * 100) // n as k, max(ct / cn::double) as p from (select config, seed, sum(tp) over w as ct, count(*) over w as cn, (select count(*) from e) as n from det window w as (partition by config, seed order by score desc)) group by 1, 2, 3
+  ) window w as (partition by config, seed order by k desc)) group by 1, 2)""" + (f", {_ap_sql('i', 'vec_id', 13)}" if unit == "both" else "")
 
 
-def _sums(spark, d):
-    """Group-level sums: the cost of a replicate is the number of groups, not of rows."""
-    e = table(spark, d, "events")
-    s = e.groupBy("user_id", (F.col("event_id") % 5).alias("run"), "event_type").agg(F.sum("value").alias("v"), F.count(F.lit(1)).alias("c"))
-    return s.join(r.draws(e, "user_id", B, 11), "user_id")
+def _ap_sql(s, key, seed):
+    return f"""g{s} as (select key, row_number() over (order by key) as no from (select distinct {key} as key from e)), n{s} as (select count(*) as n from g{s}),
+w{s} as (select rep, key, count(*) as w from (select rep, {hash52_sql(seed, 'rep', '(no - 1)')} % n + 1 as no from g{s}, n{s}, (select unnest(range(0, {B})) as rep) r) d join g{s} using (no) group by 1, 2),
+rd{s} as (select config, seed, rep, score, sum(w * tp) as t, sum(w) as n from det join w{s} on w{s}.key = det.{key} group by 1, 2, 3, 4),
+cu{s} as (select config, seed, rep, sum(t) over w as ct, sum(n) over w as cn from rd{s} window w as (partition by config, seed, rep order by score desc)),
+gt{s} as (select rep, sum(w * c) as g from w{s} join (select {key} as key, count(*) as c from e group by 1) using (key) group by 1),
+pk{s} as (select config, seed, rep, (ct * 100) // g as k, max(ct / cn::double) as p from cu{s} join gt{s} using (rep) group by 1, 2, 3, 4),
+ap{s} as (select config, seed, rep, sum(p * (k - below)) / 101 as ap from (select config, seed, rep, k, max(p) over w as p, lead(k, 1, -1) over w as below from pk{s} window w as (partition by config, seed, rep order by k desc)) group by 1, 2, 3)"""
 
 
-@query("r10_bootstrap_groups", f"with {DRAWS}, {SUMS}, t as (select run, rep, sum(w * v) / sum(w * c) as stat from s join w using (user_id) group by 1, 2) select run, {LIMITS} from t group by 1")
+def _replicates(spark, d, unit="grp", seed=11):
+    """config, seed, rep, ap of the runs' detections, with the observed AP as ``obs``; ``unit`` is what is resampled."""
+    dets = best_class(spark, d)
+    owed = dets.groupBy("config", "seed", unit).agg(F.count(F.lit(1)).alias("n_gt"))
+    reps = resample.replicated_ap(dets, owed, ["config", "seed"], unit, resample.draw_vectors(dets, unit, B, seed))
+    obs = r.average_precision(dets, owed.groupBy("config", "seed").agg(F.sum("n_gt").alias("n_gt")), ["config", "seed"])
+    return reps.join(obs.select("config", "seed", F.col("ap").alias("obs")), ["config", "seed"])
+
+
+@query("r10_bootstrap_groups", f"with {_best_sql('grp')} select config, seed, round(any_value(obs.ap), 6) as obs, {LIMITS.replace('stat', 'ap.ap')} from ap join obs using (config, seed) group by 1, 2")
 def r10(spark, d):
-    t = _sums(spark, d).groupBy("run", "rep").agg((F.sum(F.col("w") * F.col("v")) / F.sum(F.col("w") * F.col("c"))).alias("stat"))
-    return _limits(r.interval(t, ["run"], "stat"), ["run"])
+    """Average precision of each run, groups of vectors resampled."""
+    reps = _replicates(spark, d)
+    return _limits(resample.limits(reps.withColumn("obs", R6("obs")), ["config", "seed", "obs"], "ap"), ["config", "seed", "obs"])
 
 
-@query("r11_bootstrap_config", f"with {DRAWS}, {SUMS}, t as (select event_type, run, rep, sum(w * v) / sum(w * c) as m from s join w using (user_id) group by 1, 2, 3), a as (select event_type, rep, avg(m) as stat from t group by 1, 2) select event_type, {LIMITS} from a group by 1")
+@query("r11_bootstrap_config", f"""with {_best_sql('both')}, m as (select config, rep, avg(ap) as stat from ap group by 1, 2), mi as (select config, rep, avg(ap) as stat from api group by 1, 2),
+a as (select config, {LIMITS}, quantile_cont(stat, 0.975) - quantile_cont(stat, 0.025) as width from m group by 1),
+b as (select config, round(quantile_cont(stat, 0.025), 6) as naive_lo, round(quantile_cont(stat, 0.975), 6) as naive_hi, quantile_cont(stat, 0.975) - quantile_cont(stat, 0.025) as naive from mi group by 1)
+select config, round(o, 6) as obs, valid, lo, hi, naive_lo, naive_hi, round(width / nullif(naive, 0), 6) as width_ratio from a join b using (config) join (select config, avg(ap) as o from obs group by 1) using (config)""")
 def r11(spark, d):
-    """Interval of the mean over the runs; all runs share the draws."""
-    t = _sums(spark, d).groupBy("event_type", "run", "rep").agg((F.sum(F.col("w") * F.col("v")) / F.sum(F.col("w") * F.col("c"))).alias("m"))
-    return _limits(r.interval(t.groupBy("event_type", "rep").agg(F.avg("m").alias("stat")), ["event_type"], "stat"), ["event_type"])
+    """Mean over the runs of a configuration: the same draws for all runs, beside the interval of resampled single vectors."""
+    def mean(reps):
+        return reps.groupBy("config", "rep").agg(F.avg("ap").alias("m"), F.avg("obs").alias("obs"))
 
+    own = resample.limits(mean(_replicates(spark, d)), ["config", "obs"], "m").withColumn("width", F.col("hi") - F.col("lo"))
+    naive = resample.limits(mean(_replicates(spark, d, "vec_id", 13)), ["config"], "m").select("config", F.col("lo").alias("nlo"), F.col("hi").alias("nhi"))
+    ratio = F.col("width") / F.nullif(F.col("nhi") - F.col("nlo"), F.lit(0.0))
+    return _limits(own.join(naive, "config"), ["config"], R6("obs").alias("obs"), R6("nlo").alias("naive_lo"), R6("nhi").alias("naive_hi"), R6(ratio).alias("width_ratio"))
 
-@query("r12_bootstrap_difference", f"with {DRAWS}, {SUMS}, t as (select run, rep, sum(w * v) filter (event_type = 'view') / sum(w * c) filter (event_type = 'view') - sum(w * v) filter (event_type = 'click') / sum(w * c) filter (event_type = 'click') as stat from s join w using (user_id) group by 1, 2), i as (select run, {LIMITS} from t group by 1) select *, lo > 0 or hi < 0 as excludes_zero from i")
+
+@query("r12_bootstrap_difference", f"""with {_best_sql('grp')}, z as (select seed::varchar as run, rep, max(ap) filter (config = 'first') - max(ap) filter (config = 'second') as stat from ap group by 1, 2
+  union all select 'mean', rep, avg(ap) filter (config = 'first') - avg(ap) filter (config = 'second') from ap group by 2),
+o as (select seed::varchar as run, max(ap) filter (config = 'first') - max(ap) filter (config = 'second') as obs from obs group by 1 union all select 'mean', avg(ap) filter (config = 'first') - avg(ap) filter (config = 'second') from obs),
+i as (select run, {LIMITS} from z group by 1) select run, round(obs, 6) as obs, valid, lo, hi, lo > 0 or hi < 0 as excludes_zero from i join o using (run)""")
 def r12(spark, d):
-    """Both arms share the draws; the difference is taken in each replicate."""
-    mean = lambda k: F.sum(F.when(F.col("event_type") == k, F.col("w") * F.col("v"))) / F.sum(F.when(F.col("event_type") == k, F.col("w") * F.col("c")))
-    t = _sums(spark, d).groupBy("run", "rep").agg((mean("view") - mean("click")).alias("stat"))
-    return _limits(r.interval(t, ["run"], "stat"), ["run"]).withColumn("excludes_zero", (F.col("lo") > 0) | (F.col("hi") < 0))
+    """First less second configuration, run by run and of their means; both arms share the draws and the difference is taken in each replicate."""
+    reps = stored(_replicates(spark, d))
+    both = reps.select(F.col("seed").cast("string").alias("run"), "config", "rep", "ap", "obs").unionByName(
+        reps.groupBy("config", "rep").agg(F.avg("ap").alias("ap"), F.avg("obs").alias("obs")).withColumn("run", F.lit("mean"))
+    )
+    gap = lambda c: F.max(F.when(F.col("config") == "first", F.col(c))) - F.max(F.when(F.col("config") == "second", F.col(c)))
+    diff = both.groupBy("run", "rep").agg(gap("ap").alias("stat"), gap("obs").alias("obs"))
+    return _limits(resample.limits(diff, ["run", "obs"], "stat"), ["run"], R6("obs").alias("obs")).withColumn("excludes_zero", (F.col("lo") > 0) | (F.col("hi") < 0))
+
+
+DRAWS = f"""g as (select user_id, row_number() over (order by user_id) as no from (select distinct user_id from events)), n as (select count(*) as n from g),
+w as (select rep, g.user_id, count(*) as w from (select rep, {hash52_sql(11, 'rep', '(no - 1)')} % n + 1 as no from g, n, (select unnest(range(0, {B})) as rep) r) p join g using (no) group by 1, 2)"""
 
 
 @query("r13_bootstrap_pairs", f"""with {DRAWS}, o as (select user_id, round(quantile_cont(value, 0.5), 4) as x, round(avg(value), 4) as y from events group by 1), z as (select rep, x, y, unnest(range(0, w)) as i from o join w using (user_id)),
 t as (select rep, quantile_cont(y - x, 0.5) as med, avg(y - x) as bias, 2 * covar_pop(x, y) / (var_pop(x) + var_pop(y) + (avg(x) - avg(y)) * (avg(x) - avg(y))) as ccc from z group by 1)
 select count(*) as valid, count(distinct round(med, 6))::bigint as medians, round(quantile_cont(med, 0.025), 6) as med_lo, round(quantile_cont(med, 0.975), 6) as med_hi, round(quantile_cont(bias, 0.025), 6) as bias_lo, round(quantile_cont(bias, 0.975), 6) as bias_hi, round(quantile_cont(ccc, 0.025), 6) as ccc_lo, round(quantile_cont(ccc, 0.975), 6) as ccc_hi from t""")
 def r13(spark, d):
+    """Weights instead of repeated rows: a weighted median and weighted moments a replicate."""
     e = table(spark, d, "events")
     o = e.groupBy("user_id").agg(F.round(F.percentile("value", 0.5), 4).alias("x"), F.round(F.avg("value"), 4).alias("y"))
-    z = o.join(r.draws(e, "user_id", B, 11), "user_id").select("rep", "x", "y", F.explode(F.array_repeat(F.lit(1), F.col("w").cast("int"))))
-    diff = F.col("y") - F.col("x")
-    t = z.groupBy("rep").agg(F.percentile(diff, 0.5).alias("med"), F.avg(diff).alias("bias"), ccc("x", "y").alias("ccc"))
+    z = stored(o.join(r.draws(e, "user_id", B, 11), "user_id").select("rep", "x", "y", "w", (F.col("y") - F.col("x")).alias("diff")))
+    of = lambda c: F.sum(F.col("w") * c) / F.sum("w")
+    x, y = F.col("x"), F.col("y")
+    m = z.groupBy("rep").agg(of(F.col("diff")).alias("bias"), of(x).alias("mx"), of(y).alias("my"), of(x * x).alias("xx"), of(y * y).alias("yy"), of(x * y).alias("xy"))
+    gap = F.col("mx") - F.col("my")
+    spread = F.col("xx") - F.col("mx") * F.col("mx") + F.col("yy") - F.col("my") * F.col("my") + gap * gap
+    m = m.withColumn("ccc", 2 * (F.col("xy") - F.col("mx") * F.col("my")) / spread)
+    t = percentiles(z, ["rep"], "diff", {"med": 0.5}, weight="w").join(m, "rep")
     ends = [R6(F.percentile(c, p)).alias(f"{c}_{s}") for c in ("med", "bias", "ccc") for s, p in (("lo", 0.025), ("hi", 0.975))]
     return t.agg(F.count(F.lit(1)).alias("valid"), F.count_distinct(R6("med")).alias("medians"), *ends)

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sparkgauge.operators import grouping, joins, ranking, series, stats
+from sparkgauge.operators import grouping, joins, ranking, resample, series, stats
 
 
 def test_concordance_identity_shift_scale(spark):
@@ -82,10 +82,10 @@ def test_cluster_interval_is_wider_than_naive_and_repeats(spark):
 
     def cluster(seed):
         s = df.groupBy("grp").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n")).join(ranking.draws(df, "grp", 200, seed), "grp")
-        r = ranking.interval(s.groupBy("rep").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m")), [], "m").first()
+        r = resample.limits(s.groupBy("rep").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m")), [], "m").first()
         return r.valid, r.lo, r.hi
 
-    naive = ranking.bootstrap_items(df, [], "id", "v", 200, 1).first()
+    naive = resample.bootstrap_mean(df, [], "v", 200, 1).first()
     valid, lo, hi = cluster(1)
     assert valid == 200 and hi - lo > naive.hi - naive.lo
     assert cluster(1) == (valid, lo, hi) != cluster(2)
