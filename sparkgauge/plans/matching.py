@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import functions as F
 
 from sparkgauge.operators import joins as j
+from sparkgauge.operators.vectors import similar_vectors
 from sparkgauge.plans.registry import query, table
 
 R6 = lambda c: F.round(c, 6)
@@ -93,6 +96,19 @@ def j8(spark, d):
     return near(spark, d).select("a", "b", R6("sim").alias("sim"))
 
 
+@query("j8_similar_vectors", """with q as (
+  select vec_id, label, list_transform(embedding, lambda x: floor(x::double * 256)::bigint) as q from embeddings
+), c as (select label, q, min(vec_id) as class_id, list_sum(list_transform(q, lambda x: x * x))::bigint as n from q group by label, q),
+l as (
+  select a.class_id, count(*) as n_links from c a join c b on b.label is not distinct from a.label and b.class_id <> a.class_id
+  where list_dot_product(a.q::double[], b.q::double[]) > 0 and 25 * list_dot_product(a.q::double[], b.q::double[]) ** 2 >= 4 * a.n * b.n group by 1
+)
+select vec_id, class_id, coalesce(n_links, 0) as n_links from q join c on c.label is not distinct from q.label and c.q = q.q left join l using (class_id)""")
+def j8_vectors(spark, d):
+    """Embeddings of a label whose cosine is 0.4 or more."""
+    return similar_vectors(table(spark, d, "embeddings"), "vec_id", "embedding", "label", Fraction(2, 5))
+
+
 @query("j12_one_to_one")
 def j12(spark, d):
     """Rounds of mutual best between even and odd documents; iterative, tested against a brute-force version."""
