@@ -19,9 +19,11 @@ document or link, and no table of pairs is broadcast.
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import re
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,8 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from sparkgauge.llm.pieces import WHITE, Memory
 from sparkgauge.session import stored
 
-CHUNK_BYTES = 4_000_000
-UNITS_KEPT = 500_000
+CHUNK_BYTES = 2_000_000
+UNITS_KEPT = 350_000
 NO_TOKENS = (-1, 0, 0, 0, b"", "")
 
 
@@ -114,11 +116,24 @@ class Pair:
             out += self._facts(units[at : at + 50_000])
         return out
 
+    @staticmethod
+    def _faithful(raw: list[bytes], sides: list[tuple]) -> list[int]:
+        """Units whose tokens join to their bytes on every side: all at once where nothing differs, else one by one."""
+        whole, sizes = b"".join(raw), np.fromiter(map(len, raw), np.int64, len(raw))
+        same = True
+        for ids, spelled, size in sides:
+            flat = list(chain.from_iterable(ids))
+            ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+            same = same and np.array_equal(_sums(size[flat] if flat else np.zeros(0, np.int64), ends), sizes) and b"".join(map(spelled.__getitem__, flat)) == whole
+        if same:
+            return list(range(len(raw)))
+        return [k for k, u in enumerate(raw) if all(b"".join(map(spelled.__getitem__, ids[k])) == u for ids, spelled, _ in sides)]
+
     def _facts(self, units: list[str]) -> list[tuple[int, int, int, int, bytes, str]]:
         a_ids = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
         b_ids = self.encode_b(units)
-        spell = lambda ids, table: b"".join(map(table.__getitem__, ids))
-        good = [k for k, u in enumerate(units) if spell(b_ids[k], self.b_bytes) == u.encode() == spell(a_ids[k], self.a_bytes)]
+        raw = [u.encode() for u in units]
+        good = self._faithful(raw, [(a_ids, self.a_bytes, self.a_size), (b_ids, self.b_bytes, self.b_size)])
         out: list = [NO_TOKENS] * len(units)
         if not good:
             return out
@@ -188,17 +203,17 @@ def chunk_row(tokenizers: Pair, texts: list[str | None]) -> dict:
         # what is looked up next must be young, also where the memory turns over
         memory.learn(set(index) if len(memory.young) + len(new) > memory.kept // 2 else new, tokenizers.facts)
     known = [memory.young[u] for u in index]
-    bad = {k for k, f in enumerate(known) if f[0] < 0}
+    bad = {k for k, n in enumerate(map(itemgetter(0), known)) if n < 0}
     shas = []
-    spelled = [f[5] for f in known].__getitem__
+    spelled = list(map(itemgetter(5), known)).__getitem__
     for d, ids in enumerate(own):
         if bad and not bad.isdisjoint(ids):
             own[d] = ids = []
         shas.append(hashlib.sha256(";".join(map(spelled, ids)).encode()).hexdigest() if ids else "")
     ends = np.cumsum([len(x) for x in own]).astype(np.int32)
     units = np.fromiter(chain.from_iterable(own), np.int32, int(ends[-1]) if len(ends) else 0)
-    facts = np.array([f[:4] for f in known], np.int64).reshape(len(known), 4)
-    codes = np.frombuffer(b"".join(f[4] for f in known), np.int64)
+    facts = np.stack([np.fromiter(map(itemgetter(k), known), np.int64, len(known)) for k in range(4)], axis=1)
+    codes = np.frombuffer(b"".join(map(itemgetter(4), known)), np.int64)
     ids, at = np.unique(codes, return_inverse=True)
     link_end = np.cumsum(facts[:, 3])
     # documents that hold a pair: distinct units of a document first, then distinct pairs
@@ -246,7 +261,11 @@ def chunked(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int = CHUNK_
 
         def row():
             nonlocal made, ids, texts, size
-            got = chunk_row(tokenizers, texts)
+            gc.disable()  # a chunk makes hundreds of thousands of small objects and no cycles
+            try:
+                got = chunk_row(tokenizers, texts)
+            finally:
+                gc.enable()
             columns = [pa.array([base + made], pa.int64()), pa.array([ids], pa.list_(ids_type))]
             columns += [pa.array([got[k]], pa.list_(pa.int64())) for k in PER_DOC] + [pa.array([got["groups_sha256"]], pa.list_(pa.string()))]
             columns += [pa.array([got[k]], pa.binary()) for k in CHUNK] + [pa.array([got[k]], pa.list_(pa.int64())) for k in PAIRS]
