@@ -6,9 +6,13 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
+from sparkgauge.functions.hashing import hash52_sql
 from sparkgauge.operators import joins as j
+from sparkgauge.operators.assignment import assign, null_partners
+from sparkgauge.operators.ordering import percentiles
 from sparkgauge.operators.vectors import similar_vectors
 from sparkgauge.plans.registry import query, table
+from sparkgauge.session import stored
 
 R6 = lambda c: F.round(c, 6)
 MD5 = lambda c: F.md5(F.col(c).cast("binary"))
@@ -82,13 +86,16 @@ z as (select id, count(*) as n from s group by 1), c as (select a.id as a, b.id
 near as (select a, b, c / (x.n + y.n - c)::double as sim from c join z x on x.id = a join z y on y.id = b where c / (x.n + y.n - c)::double >= 0.8)"""
 
 
-def near(spark, d):
-    """One row a text; its entries are word 5-grams, the whole text when shorter."""
-    t = table(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("id"))
-    w = t.select("id", F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "").alias("w"))
+def entries(texts):
+    """id, e: word 5-grams of each text, the whole text when shorter."""
+    w = texts.select("id", F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "").alias("w"))
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, F.lit(5)), " "))
-    sets = w.select("id", F.explode(F.when(F.size("w") < 5, F.array(F.array_join("w", " "))).otherwise(grams)).alias("e"))
-    return j.near_pairs(sets, "id", "e", 0.8)
+    return w.select("id", F.explode(F.when(F.size("w") < 5, F.array(F.array_join("w", " "))).otherwise(grams)).alias("e"))
+
+
+def near(spark, d):
+    """Pairs of distinct texts, each named by its smallest id."""
+    return j.near_pairs(entries(table(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("id"))), "id", "e", 0.8)
 
 
 @query("j8_near_duplicates", f"with {NEAR} select a, b, round(sim, 6) as sim from near")
@@ -109,23 +116,51 @@ def j8_vectors(spark, d):
     return similar_vectors(table(spark, d, "embeddings"), "vec_id", "embedding", "label", Fraction(2, 5))
 
 
+def _sides(spark, d):
+    """Even and odd documents with the class of their text, and the candidate classes: equal and near texts."""
+    docs = table(spark, d, "documents").where("doc_id is not null and text is not null").select("doc_id", "text")
+    named = docs.join(docs.groupBy("text").agg(F.min("doc_id").alias("cls")), "text").select(F.col("doc_id").alias("id"), "cls")
+    close = near(spark, d)
+    both = close.select("a", "b", "sim").unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    same = named.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("sim")).distinct()
+    return named.where("id % 2 = 0"), named.where("id % 2 = 1"), both.unionByName(same)
+
+
 @query("j12_one_to_one")
 def j12(spark, d):
-    """Rounds of mutual best between even and odd documents; iterative, tested against a brute-force version."""
-    p = near(spark, d).where("(a + b) % 2 = 1").select(F.when(F.col("a") % 2 == 0, F.col("a")).otherwise(F.col("b")).alias("even"), F.when(F.col("a") % 2 == 0, F.col("b")).otherwise(F.col("a")).alias("odd"), "sim")
-    m = j.match_one_to_one(p, "even", "odd", "sim")
-    status = F.when(F.col("margin").isNull() | (F.col("margin") >= 0.02), "ok").otherwise("ambiguous")
-    ends = table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("even"))
-    return ends.join(m.withColumn("status", status), "even", "left").select("even", "odd", R6("sim").alias("sim"), R6("margin").alias("margin"), F.coalesce("status", F.lit("no_candidate")).alias("status"))
+    """Even documents get odd ones, by auction: the total similarity is the best one within 0.01 a pair.  Tested against brute force."""
+    m = assign(*_sides(spark, d))
+    status = F.when(F.col("id_b").isNull(), "no_candidate").when(F.col("margin").isNull() | (F.col("margin") >= 0.02), "ok").otherwise("ambiguous")
+    return m.select(F.col("id_a").alias("even"), F.col("id_b").alias("odd"), R6("sim").alias("sim"), R6("margin").alias("margin"), status.alias("status"))
+
+
+NULL_PARTNERS = 4
+PROBS = {f"p{int(q * 100):02d}": q for q in (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)}
+NULL_SQL = f"""r as (select *, row_number() over (partition by lang order by {hash52_sql(5, 'id')}, id) as rk, count(*) over (partition by lang) as n from (select min(doc_id) as id, min(lang) as lang from documents where text is not null group by text)),
+k as (select lang, n, s, least({NULL_PARTNERS}, n - 1) as k from (select distinct lang, n from r), (select unnest(range(0, {NULL_PARTNERS})) as s) where s < n - 1),
+h as (select lang, n, 1 + s * (n - 1) // k + {hash52_sql(5, 'lang', 's')} % ((s + 1) * (n - 1) // k - s * (n - 1) // k) as step from k),
+drawn as (select a.id as a, b.id as b from r a join h on h.lang is not distinct from a.lang join r b on b.lang is not distinct from a.lang and b.rk = (a.rk - 1 + h.step) % a.n + 1),
+met as (select a, b, (select count(*) from s x join s y on x.e = y.e where x.id = a and y.id = b) as c from drawn),
+best as (select id, max(sim) as sim from (select a as id, sim from near union all select b, sim from near) group by 1)"""
 
 
-@query("j13_match_separation")
+@query("j13_match_separation", f"""with {NEAR}, {NULL_SQL}, v as (select true as assigned, sim from best union all select false, c / (x.n + y.n - c)::double from met join z x on x.id = a join z y on y.id = b),
+p as (select assigned, count(*) as n, round(avg(sim), 6) as mean, round(min(sim), 6) as least, round(max(sim), 6) as most, {", ".join(f"round(quantile_cont(sim, {q}), 6) as {n}" for n, q in PROBS.items())} from v group by 1)
+select p.*, round((select p05 from p where assigned) - (select p95 from p where not assigned), 6) as separation from p""")
 def j13(spark, d):
-    """Assigned against unassigned candidate pairs of the matching; rests on its rounds."""
-    p = near(spark, d).where("(a + b) % 2 = 1").select(F.when(F.col("a") % 2 == 0, F.col("a")).otherwise(F.col("b")).alias("even"), F.when(F.col("a") % 2 == 0, F.col("b")).otherwise(F.col("a")).alias("odd"), "sim")
-    m = j.match_one_to_one(p, "even", "odd", "sim").select("even", "odd", F.lit(True).alias("assigned"))
-    tagged = p.join(m, ["even", "odd"], "left").withColumn("assigned", F.coalesce("assigned", F.lit(False)))
-    return tagged.groupBy("assigned").agg(F.count(F.lit(1)).alias("n"), R6(F.percentile("sim", 0.05)).alias("p5"), R6(F.percentile("sim", 0.5)).alias("median"), R6(F.percentile("sim", 0.95)).alias("p95"))
+    """Similarity of texts with their best match, beside that with partners drawn by hash from the texts of the language."""
+    best = near(spark, d).select("sim", F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.max("sim").alias("sim"))
+    texts = table(spark, d, "documents").where("text is not null").groupBy("text").agg(F.min("doc_id").alias("id"), F.min("lang").alias("lang"))
+    sets = stored(entries(texts).groupBy("id").agg(F.collect_set(F.xxhash64("e")).alias("e")))
+    of = lambda name: sets.select(F.col("id").alias(f"_{name}"), F.col("e").alias(name))
+    drawn = null_partners(texts.drop("text"), "lang", "id", NULL_PARTNERS, 5).join(of("x"), F.col("id") == F.col("_x")).join(of("y"), F.col("partner") == F.col("_y"))
+    both = F.size(F.array_intersect("x", "y"))
+    null = drawn.select((both / (F.size("x") + F.size("y") - both)).alias("sim"), F.lit(False).alias("assigned"))
+    z = stored(best.select("sim", F.lit(True).alias("assigned")).unionByName(null))
+    p = percentiles(z, ["assigned"], "sim", PROBS).join(z.groupBy("assigned").agg(F.count(F.lit(1)).alias("n"), F.avg("sim").alias("mean"), F.min("sim").alias("least"), F.max("sim").alias("most")), "assigned")
+    p = stored(p)
+    gap = p.agg(F.max(F.when(F.col("assigned"), F.round("p05", 6))).alias("low"), F.max(F.when(~F.col("assigned"), F.round("p95", 6))).alias("high"))
+    return p.crossJoin(gap).select("assigned", "n", *[R6(c).alias(c) for c in ("mean", "least", "most", *PROBS)], R6(F.col("low") - F.col("high")).alias("separation"))  # one row
 
 
 @query("j14_candidate_search", r"""with m as (select page_id, regexp_extract(url, '\.(example\.[a-z]+)/', 1) as host, regexp_extract(url, '/([a-z]{2})/', 1) as lang from pages where page_id % 10 = 0),
