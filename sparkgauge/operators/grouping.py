@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sparkgauge.functions.hashing import hash52
 from sparkgauge.operators.components import components
 from sparkgauge.operators.ordering import rank_rows
+from sparkgauge.session import stored
 
 
 def split_groups(groups: DataFrame, key: str, stratum: str, seed, test: float = 0.15, val: float = 0.15) -> DataFrame:
@@ -104,3 +105,41 @@ def diverse_topk(df: DataFrame, score: str, by: str, id_col: str, spread: int, k
     first = best.orderBy(F.desc(score), id_col).limit(spread).withColumn("step", F.lit(1))
     rest = df.join(first.select(id_col), id_col, "left_anti").orderBy(F.desc(score), id_col).limit(k - spread).withColumn("step", F.lit(2))
     return first.unionByName(rest)
+
+
+WORD = 62  # facet values a word of bits holds
+
+
+def seed_search(rows: DataFrame, key: str, facets: Sequence[str], seeds: int, shares: dict[str, float], first_seed: int = 0) -> DataFrame:
+    """Seed, incomplete, missing, error of every seed's split of the groups ``key``.
+
+    A seed sends a group to the part its hash falls in; ``shares`` gives each part's share of the rows, in the order of the hash.  ``missing``
+    counts the facet values that a part lacks, over all parts and facets; ``error`` is the sum of the shares' deviations.  The best seed is
+    the least (incomplete, error, seed).
+
+    The facet values of a group are words of bits, so a seed costs the groups' bits: they are or-ed by part before and after the shuffle
+    and counted, and no row is sent once a seed.  Null keys and facet values are values of their own.
+    """
+    rows = rows.select(F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("null")).alias("k"), *[F.coalesce(F.concat(F.lit("="), F.col(f).cast("string")), F.lit("null")).alias(f"_{i}") for i, f in enumerate(facets)])
+    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    held = rows.select("k", F.explode(F.array(*[F.struct(F.lit(i).alias("facet"), F.col(f"_{i}").alias("value")) for i in range(len(facets))])).alias("x")).select("k", "x.facet", "x.value").distinct()
+    held = stored(held)
+    ids = stored(rank_rows(held.select("facet", "value").distinct().withColumn("_u", hash52("facet", "value")), ["facet"], "_u", ["value"], "_id").select("facet", "value", "_id"))
+    values = ids.count()
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("_id") % WORD).cast("int"))
+    words = held.join(ids, ["facet", "value"]).groupBy("k", "facet", F.call_function("div", F.col("_id"), F.lit(WORD)).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    groups = stored(sizes.join(words.groupBy("k").agg(F.collect_list(F.struct("facet", "word", "bits")).alias("words")), "k", "left"))
+    total = sizes.agg(F.sum("n")).first()[0] or 1
+    drawn = groups.withColumn("seed", F.explode(F.sequence(F.lit(first_seed).cast("bigint"), F.lit(first_seed + seeds - 1).cast("bigint"))))
+    u, part, low = hash52(F.col("seed"), "k") / float(2**52), F.lit(None).cast("string"), 0.0
+    for name, share in shares.items():
+        low += share
+        part = F.coalesce(part, F.when(u < low, name))
+    drawn = drawn.withColumn("part", F.coalesce(part, F.lit(list(shares)[-1])))
+    deviation = [F.abs(F.sum(F.when(F.col("part") == name, F.col("n")).otherwise(0)) / total - share) for name, share in shares.items()]
+    error = drawn.groupBy("seed").agg(sum(deviation[1:], deviation[0]).alias("error"))
+    seen = drawn.select("seed", "part", F.explode("words").alias("w")).groupBy("seed", "part", "w.facet", "w.word").agg(F.bit_or("w.bits").alias("bits"))
+    covered = seen.groupBy("seed").agg(F.sum(F.bit_count("bits")).alias("covered"))
+    missing = F.lit(values * len(shares)) - F.coalesce("covered", F.lit(0))
+    out = error.join(covered, "seed", "left").withColumn("missing", missing.cast("bigint"))
+    return out.select("seed", F.when(F.col("missing") > 0, 1).otherwise(0).alias("incomplete"), "missing", "error")

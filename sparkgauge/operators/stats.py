@@ -76,3 +76,48 @@ def set_iou(cells: DataFrame, key: str, cell: str, side: str, left: str, right:
     there = F.col(cell).isNotNull()
     out = per.groupBy(key).agg(F.count_if(there & F.col("l") & F.col("r")).alias("inter"), F.count_if(there).alias("union_size"), F.count_if(there & F.col("l")).alias("n_left"), F.count_if(there & F.col("r")).alias("n_right"))
     return out.withColumn("iou", F.when(F.col("union_size") == 0, empty_value).otherwise(F.col("inter") / F.col("union_size")))
+
+
+def flag_overlaps(df: DataFrame, by: Sequence[str], flags: dict[str, Column], sets: dict[str, Sequence[str]]) -> DataFrame:
+    """By..., sets, observed, expected, enrichment of rows that carry all flags of each named set.
+
+    A row is one mask of bits and a key has at most 2**flags of them, so the rows are read once for any number of sets; the count of a
+    set is that of the masks above it.  ``expected`` is what independent flags would give; enrichment is null where that is 0.  A null
+    flag is not carried.
+    """
+    names = list(flags)
+    bit = {n: 1 << i for i, n in enumerate(names)}
+    mask = sum((F.when(c, bit[n]).otherwise(0) for n, c in flags.items()), F.lit(0))
+    masks = df.groupBy(*by, mask.alias("_m")).agg(F.count(F.lit(1)).alias("_c"))
+    over = lambda m: F.sum(F.when(F.col("_m").bitwiseAND(m) == m, F.col("_c")).otherwise(0))
+    single = masks.groupBy(*by).agg(F.sum("_c").alias("_n"), *[over(bit[n]).alias(f"_f_{n}") for n in names], *[over(sum(bit[n] for n in s)).alias(f"_s_{k}") for k, s in sets.items()])
+
+    def chance(s: Sequence[str]) -> Column:
+        total = F.col("_n").cast("double")
+        out = F.lit(1.0)
+        for n in s:
+            out = out * F.col(f"_f_{n}")
+        for _ in s[1:]:
+            out = out / total
+        return out
+
+    rows = F.array(*[F.struct(F.lit(k).alias("sets"), F.col(f"_s_{k}").alias("observed"), chance(s).alias("expected")) for k, s in sets.items()])
+    out = single.select(*by, F.explode(rows).alias("x")).select(*by, "x.*")
+    return out.withColumn("enrichment", F.col("observed") / F.nullif(F.col("expected"), F.lit(0.0)))
+
+
+def band_matched(df: DataFrame, observer: Column, clean: Column, value: str, method: str) -> DataFrame:
+    """The other methods' rows, tagged by sample: all, above_zero and band, with the band's ends lo and hi.
+
+    The band is what the observer's own clean pairs span; it is a scalar subquery, so the rows are filtered by it before anything else
+    reads them.  Without clean pairs the band is empty.
+    """
+    ends = df.where(observer & clean).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
+    others = df.where(~observer)
+    samples = {"all": others, "above_zero": others.where(F.col(value) > 0), "band": others.where(F.col(value).between(lo, hi))}
+    out = None
+    for name, rows in samples.items():
+        tagged = rows.withColumn("sample", F.lit(name))
+        out = tagged if out is None else out.unionByName(tagged)
+    return out.withColumns({"lo": lo, "hi": hi})

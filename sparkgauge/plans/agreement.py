@@ -8,8 +8,11 @@ from sparkgauge.functions import beta
 from sparkgauge.operators import stats as st
 from sparkgauge.operators.ordering import percentiles
 from sparkgauge.plans.registry import query, table
+from sparkgauge.session import stored
 
 R6 = lambda c: F.round(c, 6)
+# a mean may lie on a tie of the sixth place, and sums in another order fall on either side of it
+R96 = lambda c: F.round(F.round(c, 9), 6)
 
 
 def rounded(df, keep, cols):
@@ -30,12 +33,12 @@ def d1(spark, d):
     return table(spark, d, "documents").rollup("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("n_chars").alias("sizes"))
 
 
-@query("d2_profile", f"with {OB} select run, count(*) as n, " + ", ".join(f"round(quantile_cont(x, {p}), 6) as p{int(100 * p)}" for p in (0.05, 0.25, 0.5, 0.75, 0.95)) + ", round(min(x), 6) as lo, round(max(x), 6) as hi from ob group by 1")
+@query("d2_profile", f"with {OB} select run, count(*) as n, " + ", ".join(f"round(round(quantile_cont(x, {p}), 9), 6) as p{int(100 * p)}" for p in (0.05, 0.25, 0.5, 0.75, 0.95)) + ", round(round(min(x), 9), 6) as lo, round(round(max(x), 9), 6) as hi from ob group by 1")
 def d2(spark, d):
     p = pairs(spark, d)
     probs = {f"p{int(100 * q)}": q for q in (0.05, 0.25, 0.5, 0.75, 0.95)}
-    ends = p.groupBy("run").agg(F.count(F.lit(1)).alias("n"), R6(F.min("x")).alias("lo"), R6(F.max("x")).alias("hi"))
-    return rounded(percentiles(p, ["run"], "x", probs), ["run"], list(probs)).join(ends, "run")
+    ends = p.groupBy("run").agg(F.count(F.lit(1)).alias("n"), R96(F.min("x")).alias("lo"), R96(F.max("x")).alias("hi"))
+    return percentiles(p, ["run"], "x", probs).select("run", *[R96(c).alias(c) for c in probs]).join(ends, "run")
 
 
 @query("d3_seed_summary", f"with {OB}, m as (select run, tp, avg(x) as v from ob group by 1, 2) select tp, count(*) as runs, round(avg(v), 6) as mean, round(stddev_samp(v), 6) as sd, round(min(v), 6) as lo, round(max(v), 6) as hi from m group by 1")
@@ -84,9 +87,20 @@ def d9(spark, d):
     return rounded(st.ols(pairs(spark, d), ["run"]), ["run"], ["slope", "intercept", "slope_se"])
 
 
-@query("d10_tost")
+def _t_tail_sql(t, free):
+    """P(T > t) for whole degrees of freedom: the finite sums in the angle atan(t / sqrt(free)), one for even and one for odd."""
+    cos = f"sqrt({free} / ({free} + {t} * {t}))"
+    even = f"list_sum(list_transform(range(0, {free}::bigint // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1.0) + 2 * k * ln({cos}))))"
+    odd = f"coalesce(list_sum(list_transform(range(0, ({free}::bigint - 1) // 2), lambda k: exp(lgamma(k + 1.0) + lgamma(0.5) - lgamma(k + 1.5) + (2 * k + 1) * ln({cos})) / 2)), 0)"
+    sin = f"({t} / sqrt({free} + {t} * {t}))"
+    return f"((1 - case when {free}::bigint % 2 = 0 then {sin} * {even} else 2 / pi() * (atan({t} / sqrt({free})) + {sin} * {odd}) end) / 2)"
+
+
+@query("d10_tost", f"""with {OB}, m as (select run, count(*) as n, avg(y - x) as mean, stddev_samp(y - x) / sqrt(count(*)) as se from ob group by 1),
+g as (select *, unnest([0.05, 0.1, 0.2])::double as margin, (n - 1)::double as free from m), t as (select *, (mean + margin) / se as t1, (margin - mean) / se as t2 from g),
+p as (select *, greatest({_t_tail_sql('t1', 'free')}, {_t_tail_sql('t2', 'free')}) as p from t)
+select run, n, margin, p < 0.05 as equivalent, round(mean, 6) as mean, round(se, 6) as se, round(p, 6) as p from p""")
 def d10(spark, d):
-    """Its p values need Student's t, which SQL lacks; tested against known values."""
     return rounded(st.tost(pairs(spark, d), ["run"], [0.05, 0.1, 0.2], F.col("y") - F.col("x")), ["run", "n", "margin", "equivalent"], ["mean", "se", "p"])
 
 
@@ -105,24 +119,31 @@ def d12(spark, d):
     return m.withColumn("p", R6(beta.sign_test(F.col("pos"), F.col("neg"))))
 
 
-@query("d13_wilcoxon", f"""with {OB}, dd as (select run, y - x as d from ob where y <> x), r as (select run, d, rank() over (partition by run order by abs(d)) + (count(*) over (partition by run, abs(d)) - 1) / 2.0::double as rk from dd)
-select run, count(*) as n, round(sum(rk) filter (d > 0), 6) as w_plus, round(sum(rk) filter (d < 0), 6) as w_minus from r group by 1""")
+POLY = "-1.26551223 + u * (1.00002368 + u * (0.37409196 + u * (0.09678418 + u * (-0.18628806 + u * (0.27886807 + u * (-1.13520398 + u * (1.48851587 + u * (-0.82215223 + u * 0.17087277))))))))"
+
+
+@query("d13_wilcoxon", f"""with {OB}, dd as (select run, y - x as d from ob where y <> x), r as (select run, d, rank() over (partition by run order by abs(d)) + (count(*) over (partition by run, abs(d)) - 1) / 2.0::double as rk from dd),
+w as (select run, count(*)::double as n, coalesce(sum(rk) filter (d > 0), 0) as w_plus, coalesce(sum(rk) filter (d < 0), 0) as w_minus from r group by 1),
+k as (select run, sum(c * c * c - c)::double as ties from (select run, count(*) as c from dd group by run, abs(d)) group by 1),
+z as (select *, (least(w_plus, w_minus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) as z from w join k using (run)), u as (select *, abs(z) / sqrt(2.0) as x, 1 / (1 + 0.5 * abs(z) / sqrt(2.0)) as u from z)
+select run, n::bigint as n, round(w_plus, 6) as w_plus, round(w_minus, 6) as w_minus, round(z, 6) as z, round(least(1, u * exp(-x * x + {POLY})), 6) as p, 'normal' as rule from u""")
 def d13(spark, d):
     w = st.wilcoxon(pairs(spark, d).withColumn("d", F.col("y") - F.col("x")), ["run"], "d")
-    return rounded(w, ["run", "n"], ["w_plus", "w_minus"])
+    return rounded(w, ["run", "n", "rule"], ["w_plus", "w_minus", "z", "p"])
 
 
 @query("d14_error_report", f"""with {OB}, dd as (select run, x, y, y - x as d from ob) select run, count(*) as n, round(avg(d), 6) as bias, round(quantile_cont(abs(d), 0.5), 6) as mdae, round(max(abs(d)), 6) as worst, round(avg((d = 0)::int), 6) as unchanged, round(avg((abs(d) > 0.1)::int), 6) as over_10,
   count(*) filter (sign(x - 0.4) <> sign(y - 0.4)) as sign_changes, count(*) filter (y > 1) as off_scale, round(quantile_cont(d / x, 0.5), 6) as relative from dd group by 1""")
 def d14(spark, d):
-    p = pairs(spark, d).withColumn("d", F.col("y") - F.col("x")).withColumns({"a": F.abs("d"), "rel": F.col("d") / F.col("x")})
+    p = stored(pairs(spark, d).withColumn("d", F.col("y") - F.col("x")).withColumns({"a": F.abs("d"), "rel": F.col("d") / F.col("x")}))
     share = lambda c: R6(F.avg(F.when(c, 1).otherwise(0)))
     m = p.groupBy("run").agg(
         F.count(F.lit(1)).alias("n"), R6(F.avg("d")).alias("bias"), R6(F.max("a")).alias("worst"), share(F.col("d") == 0).alias("unchanged"), share(F.col("a") > 0.1).alias("over_10"),
         F.count_if(F.signum(F.col("x") - 0.4) != F.signum(F.col("y") - 0.4)).alias("sign_changes"), F.count_if(F.col("y") > 1).alias("off_scale"),
     )
-    med = lambda c, n: rounded(percentiles(p, ["run"], c, {n: 0.5}), ["run"], [n])
-    return m.join(med("a", "mdae"), "run").join(med("rel", "relative"), "run")
+    both = p.select("run", F.explode(F.array(F.struct(F.lit("mdae").alias("k"), F.col("a").alias("v")), F.struct(F.lit("relative").alias("k"), F.col("rel").alias("v")))).alias("x")).select("run", "x.k", "x.v")
+    med = percentiles(both, ["run", "k"], "v", {"m": 0.5}).groupBy("run").agg(*[R6(F.max(F.when(F.col("k") == k, F.col("m")))).alias(k) for k in ("mdae", "relative")])
+    return m.join(med, "run")
 
 
 @query("d15_stratified_error", f"with {OB} select run, tp, count(*) as n, round(avg(y - x), 6) as bias, round(stddev_samp(y - x), 6) as sd from ob group by grouping sets ((run, tp), (run), ())")
@@ -168,9 +189,9 @@ def d18(spark, d):
     return p.join(k, ["unit", "tp"], "left_semi").groupBy("run").agg(F.count(F.lit(1)).alias("n"), R6(st.ccc("x", "y")).alias("ccc"), R6(F.avg(F.col("y") - F.col("x"))).alias("bias"))
 
 
-@query("d19_envelope", f"with {OB} select unit, tp, round(avg(y), 6) as mean, round(min(y), 6) as lo, round(max(y), 6) as hi from ob group by 1, 2")
+@query("d19_envelope", f"with {OB} select unit, tp, round(round(avg(y), 9), 6) as mean, round(round(min(y), 9), 6) as lo, round(round(max(y), 9), 6) as hi from ob group by 1, 2")
 def d19(spark, d):
-    return pairs(spark, d).groupBy("unit", "tp").agg(R6(F.avg("y")).alias("mean"), R6(F.min("y")).alias("lo"), R6(F.max("y")).alias("hi"))
+    return pairs(spark, d).groupBy("unit", "tp").agg(R96(F.avg("y")).alias("mean"), R96(F.min("y")).alias("lo"), R96(F.max("y")).alias("hi"))
 
 
 CELLS = "c as (select distinct l_orderkey as k, l_partkey % 50 as cell, case when l_linenumber <= 3 then 'a' else 'b' end as side from lineitem), p as (select k, cell, bool_or(side = 'a') as a, bool_or(side = 'b') as b from c group by 1, 2)"
@@ -205,13 +226,34 @@ def d23(spark, d):
     return tagged.groupBy("sample").agg(F.count(F.lit(1)).alias("n"), R6(st.ccc("x", "y")).alias("ccc"), F.count("reason").alias("degenerate"))
 
 
-@query("d24_enrichment", f"with {OB}, t as (select run, x < quantile_cont(x, 0.1) over (partition by run) as a, y < 0.3 as b from ob) select run, count(*) filter (a and b) as observed, round(count(*) filter (a) * count(*) filter (b) / count(*)::double, 6) as expected, round(count(*) filter (a and b) / (count(*) filter (a) * count(*) filter (b) / count(*)::double), 6) as enrichment from t group by 1")
+@query("d23_band_matched", f"""with {OB}, clean as (select x from ob where run = 0 and y <> x and x >= 0.05), band as (select min(x) as lo, max(x) as hi from clean),
+t as (select 'all' as sample, * from ob where run <> 0 union all select 'above_zero', * from ob where run <> 0 and x > 0 union all select 'band', ob.* from ob, band where run <> 0 and x between lo and hi)
+select sample, run, count(*) as n, round(round(avg(abs(y - x)), 9), 6) as mae, round(round(avg(y - x), 9), 6) as bias, round((select lo from band), 6) as lo, round((select hi from band), 6) as hi from t group by 1, 2""")
+def d23_band(spark, d):
+    """Run 0 is the observer; the other runs are methods, compared on all rows, on those above zero and on the observer's own band."""
+    return st.band_matched(stored(pairs(spark, d)), F.col("run") == 0, (F.col("y") != F.col("x")) & (F.col("x") >= 0.05), "x", "run").groupBy("sample", "run").agg(
+        F.count(F.lit(1)).alias("n"), R96(F.avg(F.abs(F.col("y") - F.col("x")))).alias("mae"), R96(F.avg(F.col("y") - F.col("x"))).alias("bias"), R6(F.max("lo")).alias("lo"), R6(F.max("hi")).alias("hi")
+    )
+
+
+TAILS = {5: 0.05, 10: 0.1, 20: 0.2}
+SETS = {"ab": "a and b", "ac": "a and c", "bc": "b and c", "abc": "a and b and c"}
+EXPECTED = {"ab": "na * nb / n", "ac": "na * nc / n", "bc": "nb * nc / n", "abc": "na * nb * nc / (n * n)"}
+
+
+@query("d24_enrichment", f"""with {OB}, q as ({" union all ".join(f"select run, {k} as tail, quantile_cont(x, {q}) as cut from ob group by 1" for k, q in TAILS.items())}),
+t as (select run, tail, y < 0.3 as a, abs(y - x) > 0.1 as b, x <= cut as c from ob join q using (run)),
+m as (select run, tail, count(*)::double as n, count(*) filter (a) as na, count(*) filter (b) as nb, count(*) filter (c) as nc, {", ".join(f"count(*) filter ({c}) as o_{k}" for k, c in SETS.items())} from t group by 1, 2)
+""" + " union all ".join(f"select run, tail::int as tail, '{k}' as sets, o_{k} as observed, round({e}, 6) as expected, round(o_{k} / nullif({e}, 0), 6) as enrichment from m" for k, e in EXPECTED.items()))
 def d24(spark, d):
-    p = pairs(spark, d)
-    t = p.join(percentiles(p, ["run"], "x", {"cut": 0.1}), "run")
-    a, b = F.col("x") < F.col("cut"), F.col("y") < 0.3
-    m = t.groupBy("run").agg(F.count_if(a & b).alias("observed"), (F.count_if(a) * F.count_if(b) / F.count(F.lit(1))).alias("expected"))
-    return m.select("run", "observed", R6("expected").alias("expected"), R6(F.col("observed") / F.col("expected")).alias("enrichment"))
+    """Low values, disagreement and the lower tails of x at 5, 10 and 20 %: pairs and the triple, observed against chance."""
+    p = stored(pairs(spark, d))
+    t = p.join(percentiles(p, ["run"], "x", {f"c{k}": q for k, q in TAILS.items()}), "run")
+    flags = {"a": F.col("y") < 0.3, "b": F.abs(F.col("y") - F.col("x")) > 0.1} | {f"c{k}": F.col("x") <= F.col(f"c{k}") for k in TAILS}
+    sets = {(k, s): [f"c{k}" if c == "c" else c for c in s] for k in TAILS for s in SETS}
+    out = st.flag_overlaps(t, ["run"], flags, {f"{k}:{s}": m for (k, s), m in sets.items()})
+    part = F.split("sets", ":")
+    return out.select("run", part[0].cast("int").alias("tail"), part[1].alias("sets"), "observed", R6("expected").alias("expected"), R6("enrichment").alias("enrichment"))
 
 
 @query("d25_recurring_terms", "with w as (select unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) as term from conversations) select term, count(*) as n from w where term not in ('that', 'with', 'this', 'from') group by 1 having count(*) >= 3 order by n desc, term limit 25")

@@ -144,17 +144,23 @@ def g13(spark, d):
     return partitioned(catalogue(spark, d), "grp").select("grp", "stratum", "partition")
 
 
-@query("g15_best_split", f"""with {CAT}, sizes as (select grp, count(*) as n from docs group by 1), seeds as (select unnest([1, 2, 3, 4, 5, 6, 7, 8]) as seed),
-u as (select seed, grp, n, {hash52_sql('(seed)', 'grp')} / 4503599627370496.0 as u from sizes, seeds), t as (select seed, sum(n) filter (u < 0.15) / sum(n)::double as test, sum(n) filter (u >= 0.15 and u < 0.3) / sum(n)::double as val from u group by 1)
-select seed::bigint as seed, round(abs(test - 0.15) + abs(val - 0.15), 6) as error from t order by abs(test - 0.15) + abs(val - 0.15), seed limit 1""")
+SEEDS = 400
+TARGETS = {"test": 0.15, "val": 0.15, "train": 0.7}
+KEY = "'=' || grp"
+
+
+@query("g15_best_split", f"""with {CAT}, sizes as (select {KEY} as k, count(*) as n from docs group by 1), seeds as (select unnest(range(0, {SEEDS}))::bigint as seed),
+u as (select seed, k, n, case when u < 0.15 then 'test' when u < 0.3 then 'val' else 'train' end as part from (select seed, k, n, {hash52_sql('(seed)', 'k')} / 4503599627370496.0 as u from sizes, seeds)),
+e as (select seed, abs(coalesce(sum(n) filter (part = 'test'), 0) / sum(n)::double - 0.15) + abs(coalesce(sum(n) filter (part = 'val'), 0) / sum(n)::double - 0.15) + abs(coalesce(sum(n) filter (part = 'train'), 0) / sum(n)::double - 0.7) as error from u group by 1),
+f as (select distinct {KEY} as k, facet, value from (select grp, 'lang' as facet, lang as value from docs union all select grp, 'source', source from docs union all select grp, 'size', (n_chars // 1000)::varchar from docs)),
+m as (select seed, 3 * (select count(*) from (select distinct facet, value from f)) - count(*) as missing from (select distinct seed, part, facet, value from u join f using (k)) group by 1)
+select seed, (missing > 0)::int as incomplete, missing, round(error, 6) as error from e join m using (seed) order by missing > 0, round(error, 9), seed limit 1""")
 def g15(spark, d):
-    sizes = catalogue(spark, d).groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    u = sizes.withColumn("seed", F.explode(F.array(*[F.lit(s).cast("bigint") for s in range(1, 9)])))
-    u = u.withColumn("u", hash52(F.col("seed"), "grp") / float(2**52))
-    share = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0)) / F.sum("n")
-    t = u.groupBy("seed").agg(share(F.col("u") < 0.15).alias("test"), share((F.col("u") >= 0.15) & (F.col("u") < 0.3)).alias("val"))
-    error = F.abs(F.col("test") - 0.15) + F.abs(F.col("val") - 0.15)
-    return t.agg(F.min_by("seed", F.struct(error, "seed")).alias("seed"), F.round(F.min(error), 6).alias("error"))
+    """The seed whose parts hold every language, source and size band, or else come closest to their shares."""
+    docs = catalogue(spark, d).withColumn("size", F.call_function("div", F.col("n_chars"), F.lit(1000)))
+    t = g.seed_search(docs, "grp", ["lang", "source", "size"], SEEDS, TARGETS)
+    best = t.agg(F.min(F.struct("incomplete", F.round("error", 9).alias("e"), "seed", "missing", "error")).alias("b"))
+    return best.select("b.seed", "b.incomplete", "b.missing", F.round("b.error", 6).alias("error"))
 
 
 @query("g16_coverage", f"with {CAT}, {_split_sql('s', 'cat', 'grp')}, f as (select lang, part from cat join s using (grp)) select l.lang, p.part as partition, count(f.lang) as n, count(f.lang) = 0 as absent from (select distinct lang from docs) l cross join (select unnest(['train', 'val', 'test']) as part) p left join f on f.lang = l.lang and f.part = p.part group by 1, 2")
