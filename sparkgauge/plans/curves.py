@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
 from sparkgauge import vocabulary as v
 from sparkgauge.operators import series as s
 from sparkgauge.operators.ordering import percentiles, rank_rows
 from sparkgauge.plans.registry import query, table
+from sparkgauge.session import checkpoint_folder
+from sparkgauge.streaming.correction_log import follow, outcomes
 
 R6 = lambda c: F.round(c, 6)
 
@@ -223,9 +227,13 @@ LOG = """log as (select event_id as seq, user_id as key, case event_type when 'v
 
 
 def _log(spark, d):
+    return _named_log(table(spark, d, "events"))
+
+
+def _named_log(events):
     status = F.when(F.col("event_type") == "view", "ok").when(F.col("event_type") == "click", "fechada").when(F.col("event_type") == "error", "invalida").otherwise("pulada")
     week = F.call_function("div", F.datediff(F.to_date("ts"), F.lit("2024-01-01")), F.lit(7)).cast("int")
-    return table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("key"), status.alias("status"), F.col("value").alias("corrected"), week.alias("pass"))
+    return events.select(F.col("event_id").alias("seq"), F.col("user_id").alias("key"), status.alias("status"), F.col("value").alias("corrected"), week.alias("pass"))
 
 
 W1 = "select key, seq, status, corrected from (select *, row_number() over (partition by key{more} order by case status when 'ok' then 3 when 'fechada' then 3 when 'invalida' then 2 else 1 end desc, seq desc) as rk from log) where rk = 1"
@@ -236,6 +244,16 @@ def w1(spark, d):
     return s.latest(_log(spark, d), "key", "status", "seq", ["corrected"])
 
 
+@query("x1_log_stream", f"with {LOG} {W1.format(more='')}")
+def x1(spark, d):
+    """The same outcomes from the log as a stream; its state and changes lie in the shared checkpoint folder."""
+    folder = f"{checkpoint_folder(spark)}/log-{uuid.uuid4().hex}"
+    events = table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/event[s].parquet")  # a pattern, as a stream's plain path must be a folder
+    follow(_named_log(stream), "key", "status", "seq", ["corrected"], folder)
+    return outcomes(spark, "key", folder)
+
+
 @query("j20_merged_passes", f"with {LOG.replace('user_id as key', '(user_id * 7 + event_id % 7) as key')}, one as (select key, pass, seq, status, corrected from (select *, row_number() over (partition by key, pass order by case status when 'ok' then 3 when 'fechada' then 3 when 'invalida' then 2 else 1 end desc, seq desc) as rk from log where pass <> 1) where rk = 1) select key, pass, seq, status from (select *, row_number() over (partition by key order by pass) as rk from one) where rk = 1")
 def j20(spark, d):
     """Pass 1 is the blind repeat and is left out; the earliest pass that has the key counts."""

@@ -13,6 +13,7 @@ from sparkgauge.operators.ordering import percentiles
 from sparkgauge.operators.vectors import similar_vectors
 from sparkgauge.plans.registry import query, table
 from sparkgauge.session import stored
+from sparkgauge.sources.annotations import annotations, images
 
 R6 = lambda c: F.round(c, 6)
 MD5 = lambda c: F.md5(F.col(c).cast("binary"))
@@ -230,8 +231,47 @@ def j21(spark, d):
 
 @query("s2_annotations", "select event_id, (props ->> '$.k')::bigint as k, user_id as image from events")
 def s2(spark, d):
-    k = F.from_json("props", "struct<k: bigint>")["k"]
-    return table(spark, d, "events").select("event_id", k.alias("k"), F.col("user_id").alias("image"))
+    """One field of a small document, whatever else it has."""
+    return table(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"), F.col("user_id").alias("image"))
+
+
+def order_documents(spark, d):
+    """doc, json: an annotation document an order; its images are return flags, its polygons lines.  Three layouts, and a few broken texts."""
+    line = table(spark, d, "lineitem")
+    q, t, n = F.col("l_quantity"), F.col("l_tax"), (3 + F.col("l_linenumber") % 3) * 2
+    values = F.transform(F.sequence(F.lit(0), n - 1), lambda i: q + i * t)
+    more = F.when(F.col("l_linenumber") % 2 == 0, F.array(F.transform(values, lambda x: x + 1)))
+    kind = F.col("l_orderkey") % 3
+    mark = F.struct(
+        F.col("l_returnflag").alias("image_id"), F.when(kind == 0, F.col("l_linenumber")).alias("category_id"), F.when(kind != 0, F.col("l_linenumber")).alias("label"),
+        F.when(kind == 0, F.concat(F.array(values), F.coalesce(more, F.array().cast("array<array<double>>")))).alias("segmentation"),
+        F.when(kind == 1, values).alias("polygon"), F.when(kind == 2, F.array(q, t, F.lit(10.0), F.lit(20.0))).alias("bbox"),
+    )
+    marks = line.groupBy(F.col("l_orderkey").alias("doc")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", mark.alias("a")))).alias("annotations"))
+    size = line.groupBy(F.col("l_orderkey").alias("doc"), F.col("l_returnflag").alias("id")).agg(F.count(F.lit(1)).alias("c"))
+    kind = F.col("doc") % 3
+    picture = F.struct(
+        "id", F.when(kind == 0, F.col("c") + 100).alias("width"), F.when(kind == 0, F.col("c")).alias("height"), F.when(kind == 1, F.col("c") + 100).alias("w"),
+        F.when(kind == 1, F.col("c")).alias("h"), F.when(kind == 2, F.array(F.col("c") + 100, F.col("c"))).alias("size"),
+    )
+    pictures = size.groupBy("doc").agg(F.sort_array(F.collect_list(picture)).alias("images"))
+    text = F.to_json(F.struct("images", F.transform("annotations", lambda x: x["a"]).alias("annotations")))
+    return pictures.join(marks, "doc").select("doc", F.when(F.col("doc") % 97 == 0, F.concat(F.lit("{"), text)).otherwise(text).alias("json"))
+
+
+@query("s2_images", "select l_orderkey as doc, l_returnflag as image_id, (count(*) + 100)::double as width, count(*)::double as height, case l_orderkey % 3 when 0 then 'named' when 1 then 'short' else 'pair' end as layout from lineitem where l_orderkey % 97 <> 0 group by 1, 2 union all select distinct l_orderkey, null, null, null, 'malformed' from lineitem where l_orderkey % 97 = 0")
+def s2_images(spark, d):
+    return images(order_documents(spark, d), "doc", "json")
+
+
+@query("s2_polygons", """with l as (select *, (3 + l_linenumber % 3) * 2 as n, l_orderkey % 3 as kind from lineitem where l_orderkey % 97 <> 0),
+p as (select *, 0 as part from l union all select *, 1 from l where kind = 0 and l_linenumber % 2 = 0)
+select l_orderkey as doc, part, l_returnflag as image_id, l_linenumber::varchar as category, (case when kind = 2 then 8 else n end)::bigint as n_values,
+  round(case when kind = 2 then 4 * l_quantity + 4 * l_tax + 60 else n * (l_quantity + part) + l_tax * n * (n - 1) / 2 end, 6) as total from p""")
+def s2_polygons(spark, d):
+    a = annotations(order_documents(spark, d), "doc", "json")
+    total = F.aggregate("polygon", F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    return a.select("doc", "part", "image_id", "category", F.size("polygon").cast("bigint").alias("n_values"), R6(total).alias("total"))
 
 
 @query("s3_match_records", "select l_orderkey as item, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber, l_partkey) as rank, l_extendedprice as score, (l_returnflag = 'R')::int as tp, count(*) over (partition by l_orderkey) as n from lineitem")
