@@ -143,3 +143,21 @@ def seed_search(rows: DataFrame, key: str, facets: Sequence[str], seeds: int, sh
     missing = F.lit(values * len(shares)) - F.coalesce("covered", F.lit(0))
     out = error.join(covered, "seed", "left").withColumn("missing", missing.cast("bigint"))
     return out.select("seed", F.when(F.col("missing") > 0, 1).otherwise(0).alias("incomplete"), "missing", "error")
+
+
+def conservation(total: DataFrame, used: DataFrame, key: str) -> DataFrame:
+    """One row: total, labelled, excluded, labels, orphan_labels, label_ids, conserved.
+
+    Each count comes from a join of its own, so that the sums can fail: rows of ``total`` that ``used`` has or lacks, rows of ``used``
+    that ``total`` lacks, and keys that ``used`` has twice.
+    """
+    counts = {
+        "total": total, "labelled": total.join(used.select(key).distinct(), key, "left_semi"), "excluded": total.join(used.select(key).distinct(), key, "left_anti"),
+        "labels": used, "orphan_labels": used.join(total.select(key).distinct(), key, "left_anti"), "label_ids": used.where(F.col(key).isNotNull()).select(key).distinct(),
+    }
+    out = None
+    for name, rows in counts.items():
+        one = rows.agg(F.count(F.lit(1)).alias(name))
+        out = one if out is None else out.crossJoin(one)  # one row each
+    good = (F.col("total") == F.col("labelled") + F.col("excluded")) & (F.col("orphan_labels") == 0) & (F.col("labels") == F.col("label_ids"))
+    return out.withColumn("conserved", good)

@@ -8,13 +8,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def norm_key(c: Column) -> Column:
-    """Name without extension and collision suffix, lower case, blanks for underscores, single blanks; snap names as snap-N."""
-    base = F.regexp_replace(F.regexp_replace(c, r"\.[A-Za-z]{2,4}$", ""), r"\s*\(\d+\)$", "")
-    flat = F.trim(F.regexp_replace(F.lower(F.regexp_replace(base, "_", " ")), r"\s+", " "))
-    snap = F.regexp_extract(flat, r"snap-?\s*(\d+)", 1)
+    """Name without extension and collision suffix, lower case, blanks for underscores, single blanks.
+
+    A snap, its number set off by blanks, underscores or hyphens, is ``snap-N`` with N as a number, whatever stands around it.
+    """
+    base = F.trim(F.lower(F.regexp_replace(c, r"\.[A-Za-z]{2,4}$", "")))
+    base = F.regexp_replace(base, r"\s*\([0-9]+\)\s*$", "")
+    snap = F.regexp_extract(base, r"snap[\s_-]*0*([0-9]+)", 1)
+    flat = F.trim(F.regexp_replace(F.regexp_replace(base, "_", " "), r"\s+", " "))
     return F.when(snap != "", F.concat(F.lit("snap-"), snap)).otherwise(flat)
 
 
+def normalise_coords(coords: Column, width: Column, height: Column) -> Column:
+    """Struct of ``coords`` (x by the width, y by the height, clamped to [0, 1]) and ``clamped``, how many lay outside.
+
+    Coordinates alternate x, y; a null one stays null and does not count.
+    """
+    share = F.transform(coords, lambda v, i: v / F.when(i % 2 == 0, width).otherwise(height))
+    inside = F.transform(share, lambda x: F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))))
+    return F.struct(inside.alias("coords"), F.size(F.filter(share, lambda x: (x < 0) | (x > 1))).alias("clamped"))
+
+
 def classify(c: Column, rules: Sequence[tuple[str, str]], default: str) -> Column:
     """The class of the first pattern that is found."""
     out = F.lit(default)

@@ -114,3 +114,40 @@ def resolve_final(frames: DataFrame) -> DataFrame:
     rows = rows.withColumn("source", source)
     area = F.when(F.col("source").isin(v.SOURCE_AUTO, v.SOURCE_PENDING_AUTO), F.col("auto")).when(F.col("source") == v.SOURCE_CORRECTED, F.col("corrected")).when(F.col("source") == v.SOURCE_CLOSED, 0.0)
     return rows.withColumn("final", area)
+
+
+def numeric_order(rows: DataFrame, unit: str, tp: str, seen: str, number: str) -> DataFrame:
+    """Q10: unit, timepoints, pos_consistent, temporal_equals_numeric for units with two timepoints or more.
+
+    In the order of ``seen`` (ties by ``number``) the rows of a timepoint have positions; they are consistent if each position that all
+    timepoints have holds one number, and numeric if the numbers never fall in any timepoint.
+    """
+    w = Window.partitionBy(unit, tp).orderBy(seen, number)
+    placed = rows.select(unit, tp, number, F.row_number().over(w).alias("_pos"), F.lag(number).over(w).alias("_last"))
+    per = placed.groupBy(unit, tp).agg(F.max("_pos").alias("_n"), F.bool_and(F.coalesce(F.col("_last") <= F.col(number), F.lit(True))).alias("_rising"))
+    units = per.groupBy(unit).agg(F.count(F.lit(1)).alias("timepoints"), F.min("_n").alias("_least"), F.bool_and("_rising").alias("temporal_equals_numeric")).where("timepoints >= 2")
+    kinds = placed.join(units.select(unit, "_least"), unit).where(F.col("_pos") <= F.col("_least")).groupBy(unit, "_pos").agg(F.count_distinct(number).alias("_k"))
+    same = kinds.groupBy(unit).agg((F.max("_k") == 1).alias("pos_consistent"))
+    return units.join(same, unit).select(unit, "timepoints", "pos_consistent", "temporal_equals_numeric")
+
+
+def run_log(log: DataFrame, run: str, epoch: str, measures: Sequence[str], pair: tuple[str, str], expected: int, least: int = 3) -> DataFrame:
+    """Q13: run, rows, stopped_early, nonfinite, first_nonfinite, degenerate, rejected of each run's log.
+
+    An epoch is non-finite if one of ``measures`` is null, NaN or infinite.  It is degenerate within a run of ``least`` or more epochs in
+    a row whose ``pair`` of scores is equal and strictly between 0 and 1: two means may be equal once by chance.
+    """
+    w = Window.partitionBy(run).orderBy(epoch)
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c)) & (F.abs(F.col(c)) != float("inf"))
+    bad = F.lit(False)
+    for c in measures:
+        bad = bad | ~finite(c)
+    a, b = (F.col(c) for c in pair)
+    mark = F.coalesce(finite(pair[0]) & (F.abs(a - b) < 1e-9) & (a > 0) & (a < 1), F.lit(False))
+    rows = log.select(run, epoch, bad.alias("_bad"), mark.alias("_mark"))
+    rows = rows.withColumn("_new", F.when(F.lag("_mark").over(w).eqNullSafe(F.col("_mark")), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
+    runs = rows.groupBy(run, "_run").agg(F.count(F.lit(1)).alias("_n"), F.max("_mark").alias("_mark"), F.count_if("_bad").alias("_bad"), F.min(F.when(F.col("_bad"), F.col(epoch))).alias("_first"))
+    degenerate = F.sum(F.when(F.col("_mark") & (F.col("_n") >= least), F.col("_n")).otherwise(0))
+    out = runs.groupBy(run).agg(F.sum("_n").alias("rows"), F.sum("_bad").alias("nonfinite"), F.min("_first").alias("first_nonfinite"), degenerate.alias("degenerate"))
+    out = out.withColumn("stopped_early", F.col("rows") < expected)
+    return out.withColumn("rejected", F.col("stopped_early") | (F.col("nonfinite") > 0) | (F.col("degenerate") > 0)).select(run, "rows", "stopped_early", "nonfinite", "first_nonfinite", "degenerate", "rejected")

@@ -10,7 +10,7 @@ from sparkgauge import vocabulary as v
 from sparkgauge.operators import series as s
 from sparkgauge.operators.ordering import percentiles, rank_rows
 from sparkgauge.plans.registry import query, table
-from sparkgauge.session import checkpoint_folder
+from sparkgauge.session import checkpoint_folder, stored
 from sparkgauge.streaming.correction_log import follow, outcomes
 
 R6 = lambda c: F.round(c, 6)
@@ -152,6 +152,18 @@ def q8(spark, d):
     return frames(spark, d).select("frame", F.when(F.col("area") == 0, "vazia").when(F.col("area") < low, "area_baixa").otherwise("ok").alias("flag"))
 
 
+PROBS = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
+@query("q8_area_profile", f"with {FR} select field, tp, count(*) as n, round(min(area), 6) as lo, {', '.join(f'round(quantile_cont(area, {q}), 6) as {n}' for n, q in PROBS.items())}, round(max(area), 6) as hi, count(*) filter (area < case when tp = 0 then 3.0 else 2.0 end) as suspect from fr where area > 0 group by 1, 2")
+def q8_profile(spark, d):
+    """Areas of the annotated frames by field and timepoint, and how many lie below the timepoint's limit."""
+    f = stored(frames(spark, d).where("area > 0").select("field", "tp", "area"))
+    low = F.when(F.col("tp") == 0, 3.0).otherwise(2.0)
+    ends = f.groupBy("field", "tp").agg(F.count(F.lit(1)).alias("n"), R6(F.min("area")).alias("lo"), R6(F.max("area")).alias("hi"), F.count_if(F.col("area") < low).alias("suspect"))
+    return percentiles(f, ["field", "tp"], "area", PROBS).select("field", "tp", *[R6(c).alias(c) for c in PROBS]).join(ends, ["field", "tp"])
+
+
 @query("q9_ratio_qc", f"""with {FR}, m as (select unit, tp, sum(area) filter (field = 'view') as a, sum(area) filter (field = 'click') as b from fr group by 1, 2)
 select unit, tp, case when a is null then 'sem_a' when b is null then 'sem_b' else 'ok' end as status, round(a / nullif(b, 0), 6) as ratio, coalesce(a / nullif(b, 0) not between 0.5 and 2, false) as flagged from m""")
 def q9(spark, d):
@@ -169,6 +181,15 @@ def q10(spark, d):
     return r.groupBy("unit", "pos").agg(F.count_distinct("field").alias("kinds"), (F.count_distinct("field") == 1).alias("stable"))
 
 
+@query("q10_numeric_order", f"""with {FR}, f as (select unit, tp, ascii(field) as snap, min(ts) as seen from fr group by all), r as (select *, row_number() over w as pos, lag(snap) over w as last from f window w as (partition by unit, tp order by seen, snap)),
+p as (select unit, tp, max(pos) as n, bool_and(coalesce(last <= snap, true)) as rising from r group by 1, 2), u as (select unit, count(*) as timepoints, min(n) as least, bool_and(rising) as temporal_equals_numeric from p group by 1 having count(*) >= 2),
+k as (select unit, max(k) = 1 as pos_consistent from (select unit, pos, count(distinct snap) as k from r join u using (unit) where pos <= least group by 1, 2) group by 1)
+select unit, timepoints, pos_consistent, temporal_equals_numeric from u join k using (unit)""")
+def q10_numeric(spark, d):
+    f = frames(spark, d).groupBy("unit", "tp", F.ascii("field").alias("snap")).agg(F.min("ts").alias("seen"))
+    return s.numeric_order(f, "unit", "tp", "seen", "snap")
+
+
 @query("q11_session_span", f"with {FR} select unit, tp, count(*) as n, min(ts) as first_ts, max(ts) as last_ts from fr group by 1, 2")
 def q11(spark, d):
     return frames(spark, d).groupBy("unit", "tp").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
@@ -196,6 +217,30 @@ def q13(spark, d):
     return runs.groupBy("series").agg(F.sum("n").alias("rows"), (F.sum("n") == 5).alias("complete"), F.min(F.when(F.col("bad"), F.col("tp"))).alias("first_bad"), worst.alias("worst"), (worst >= 3).alias("rejected"))
 
 
+EPOCHS = 12
+LOSS = "case when event_type = 'error' and event_id % 3 = 0 then 'nan'::double else value end"
+
+
+@query("q13_run_check", f"""with l as (select user_id % 700 as run, row_number() over (partition by user_id % 700 order by event_id) as epoch, {LOSS} as loss, value / 200 as iou, case when event_type in ('view', 'click') then value / 200 else value / 100 end as dice from events),
+m as (select *, not isfinite(loss) as bad, abs(iou - dice) < 1e-9 and iou > 0 and iou < 1 as mark from l), n as (select *, lag(mark) over (partition by run order by epoch) is distinct from mark as fresh from m),
+r as (select *, sum(fresh::int) over (partition by run order by epoch) as stretch from n), g as (select run, stretch, count(*) as n, bool_or(mark) as mark, count(*) filter (bad) as bad, min(epoch) filter (bad) as first from r group by 1, 2),
+o as (select run, sum(n)::bigint as rows, sum(bad)::bigint as nonfinite, min(first)::bigint as first_nonfinite, coalesce(sum(n) filter (mark and n >= 3), 0)::bigint as degenerate from g group by 1),
+z as (select run, rows, rows < {EPOCHS} as stopped_early, nonfinite, first_nonfinite, degenerate, rows < {EPOCHS} or nonfinite > 0 or degenerate > 0 as rejected from o)
+select *, case when run % 5 = 0 then 'failed' else 'ok' end as said, (run % 5 = 0) <> rejected as contradicted from z""")
+def q13_check(spark, d):
+    """A user's events as the log of a training run, beside the status that a sentinel has written for it."""
+    e = table(spark, d, "events").withColumn("run", F.col("user_id") % 700)
+    same = F.col("event_type").isin("view", "click")
+    lost = (F.col("event_type") == "error") & (F.col("event_id") % 3 == 0)
+    log = e.select(
+        "run", F.row_number().over(Window.partitionBy("run").orderBy("event_id")).cast("bigint").alias("epoch"), F.when(lost, float("nan")).otherwise(F.col("value")).alias("loss"),
+        (F.col("value") / 200).alias("iou"), F.when(same, F.col("value") / 200).otherwise(F.col("value") / 100).alias("dice"),
+    )
+    said = F.when(F.col("run") % 5 == 0, "failed").otherwise("ok")
+    out = s.run_log(log, "run", "epoch", ["loss"], ("iou", "dice"), EPOCHS)
+    return out.withColumn("said", said).withColumn("contradicted", (F.col("said") == "failed") != F.col("rejected"))
+
+
 @query("q14_provenance_class", f"with {FR} select series, case when bool_and(frame % 3 = 0) then 'corrigida' when not bool_or(frame % 3 = 0) then 'automatica' else 'mista' end as provenance from fr group by 1")
 def q14(spark, d):
     fixed = F.col("frame") % 3 == 0

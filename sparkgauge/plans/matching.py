@@ -164,14 +164,14 @@ def j13(spark, d):
     return p.crossJoin(gap).select("assigned", "n", *[R6(c).alias(c) for c in ("mean", "least", "most", *PROBS)], R6(F.col("low") - F.col("high")).alias("separation"))  # one row
 
 
-@query("j14_candidate_search", r"""with m as (select page_id, regexp_extract(url, '\.(example\.[a-z]+)/', 1) as host, regexp_extract(url, '/([a-z]{2})/', 1) as lang from pages where page_id % 10 = 0),
-i as (select page_id as cand, regexp_extract(url, '\.(example\.[a-z]+)/', 1) as host, regexp_extract(url, '/([a-z]{2})/', 1) as lang, url from pages where page_id % 10 = 1 and regexp_matches(url, '^https?://'))
-select m.page_id, i.cand from m join i using (host, lang) where lang <> ''""")
+@query("j14_candidate_search", r"""with p as (select page_id, nullif(regexp_extract(url, '\.(example\.[a-z]+)/', 1), '') as host, nullif(regexp_extract(url, '/([a-z]{2})/', 1), '') as lang, not regexp_matches(url, '^https:') as asks from pages),
+g as (select host, lang, count(*) filter (asks) as n_asks, count(*) filter (not asks) as n_answers, min(page_id) filter (not asks) as first_answer from p where host is not null and lang is not null group by 1, 2)
+select page_id, p.host, p.lang, asks, coalesce(n_asks, 0) as n_asks, coalesce(n_answers, 0) as n_answers, first_answer from p left join g on g.host = p.host and g.lang = p.lang""")
 def j14(spark, d):
-    """Equality of components (host, language), one row a candidate."""
-    p = table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"\.(example\.[a-z]+)/", 1).alias("host"), F.regexp_extract("url", "/([a-z]{2})/", 1).alias("lang"), "url")
-    i = p.where(F.col("url").rlike("^https?://") & (F.col("page_id") % 10 == 1)).select(F.col("page_id").alias("cand"), "host", "lang")
-    return p.where("page_id % 10 = 0 and lang <> ''").join(i, ["host", "lang"]).select("page_id", "cand")
+    """Pages without a secure address ask, those with one answer: groups of equal host and language, with all their pages."""
+    some = lambda pattern: F.nullif(F.regexp_extract("url", pattern, 1), F.lit(""))
+    p = table(spark, d, "pages").select("page_id", some(r"\.(example\.[a-z]+)/").alias("host"), some("/([a-z]{2})/").alias("lang"), F.col("url").rlike("^https:").alias("secure"))
+    return j.candidate_groups(p.where("not secure"), p.where("secure"), "page_id", ["host", "lang"])
 
 
 @query("j15_recover_by_position", """with f as (select user_id, event_type, (date_diff('day', timestamp '2024-01-01', ts) // 7) as tp, min(event_id) as e from events group by all), o as (select *, row_number() over (partition by user_id, tp order by e) as pos from f),
@@ -276,10 +276,11 @@ def s2_polygons(spark, d):
 
 @query("s3_match_records", "select l_orderkey as item, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber, l_partkey) as rank, l_extendedprice as score, (l_returnflag = 'R')::int as tp, count(*) over (partition by l_orderkey) as n from lineitem")
 def s3(spark, d):
-    """Records of one order as a JSON text, parsed and laid out again: one row a detection, best score first."""
+    """Records of one order as a JSON text, refused if synthetic, and laid out again: one row a detection, best score first."""
     rec = F.struct(F.col("l_extendedprice").alias("score"), F.col("l_linenumber").alias("id"), F.col("l_partkey").alias("k"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("tp"))
-    text = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("item")).agg(F.to_json(F.collect_list(rec)).alias("json"))
-    parsed = text.select("item", F.from_json("json", "array<struct<score: double, id: int, k: bigint, tp: int>>").alias("r"))
+    text = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("item")).agg(F.to_json(F.struct(F.collect_list(rec).alias("r"))).alias("json"))
+    parsed = text.select("item", F.from_json("json", "r array<struct<score: double, id: int, k: bigint, tp: int>>, synthetic boolean").alias("d")).select("item", "d.r", "d.synthetic")
+    parsed = j.guarded_records(parsed, F.col("synthetic"))
     order = F.array_sort("r", lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["id"] != b["id"], F.signum(a["id"] - b["id"]).cast("int")).otherwise(F.signum(a["k"] - b["k"]).cast("int")))
     out = parsed.select("item", F.size("r").cast("bigint").alias("n"), F.posexplode(order).alias("i", "x"))
     return out.select("item", (F.col("i") + 1).cast("bigint").alias("rank"), "x.score", "x.tp", "n")
@@ -293,7 +294,7 @@ def s5(spark, d):
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("k")).join(text, F.col("k") == F.col("l_orderkey"), "left")
     orders = orders.withColumn("label", F.coalesce("label", F.when(F.col("k") % 2 == 0, F.lit(""))))
     lines = orders.select("k", F.col("label").isNotNull().alias("present"), F.explode_outer(F.filter(F.split("label", "\n"), lambda x: x != "")).alias("x")).withColumn("p", F.split("x", " "))
-    xs = F.transform(F.slice("p", 2, 100), lambda v: v.try_cast("double"))
+    xs = F.transform(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), lambda v: v.try_cast("double"))
     total = F.aggregate(xs, F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
     return lines.select("k", F.col("p")[0].cast("int").alias("cls"), F.when(F.col("x").isNull(), 0).otherwise(F.size(xs)).cast("bigint").alias("n_values"), R6(total).alias("total"), "present")
 
@@ -314,17 +315,19 @@ def s8(spark, d):
     return target.unionByName(new.join(target.select("doc_id"), "doc_id", "left_anti"), allowMissingColumns=True).select("doc_id", "quality", "toxic")
 
 
-@query("s9_quarantine", "select doc_id, case when lang = 'es' then 'quarantine' else 'kept' end as place, case when lang = 'es' then 'out_of_scope:' || lang end as reason from documents")
+@query("s9_quarantine", "select d.doc_id, case when lang = 'es' and l.doc_id is not null then 'protected' when lang = 'es' then 'quarantine' else 'kept' end as place, case when lang = 'es' then 'out_of_scope:' || lang end as reason from documents d left join (select distinct doc_id from labels) l using (doc_id)")
 def s9(spark, d):
-    """Out-of-scope rows with their reason; the run fails if the protected table uses one."""
+    """Out-of-scope documents with their reason; those that the labels use stay where they are."""
     docs = table(spark, d, "documents").select("doc_id", "lang")
-    bad = F.col("lang") == "es"
-    used = docs.where(bad).join(docs.where("lang = 'de'").select("doc_id"), "doc_id", "left_semi").agg(F.count(F.lit(1)).alias("used"))
-    guard = F.when(F.col("used") > 0, F.raise_error(F.lit("a protected row is out of scope")).cast("boolean")).otherwise(F.lit(True))
-    return docs.crossJoin(used).where(guard).select("doc_id", F.when(bad, "quarantine").otherwise("kept").alias("place"), F.when(bad, F.concat(F.lit("out_of_scope:"), "lang")).alias("reason"))  # one row
+    out = j.quarantine(docs, F.col("lang") == "es", F.concat(F.lit("out_of_scope:"), "lang"), table(spark, d, "labels"), "doc_id", strict=False)
+    return out.select("doc_id", "place", "reason")
 
 
-@query("s10_freeze", "select o_orderstatus, count(*) as n, sum(('0x' || substr(md5(o_orderkey || '|' || o_custkey || '|' || o_orderpriority), 1, 15))::bigint)::decimal(38, 0)::varchar || ':' || sum(('0x' || substr(md5(o_orderkey || '|' || o_custkey || '|' || o_orderpriority), 16, 15))::bigint)::decimal(38, 0)::varchar as digest from orders group by 1")
+@query("s10_freeze", """with e as (select s as o_orderstatus, count(*) as expected from (select l_orderkey, case when bool_and(l_linestatus = 'F') then 'F' when bool_and(l_linestatus = 'O') then 'O' else 'P' end as s from lineitem group by 1) group by 1),
+o as (select o_orderstatus, count(*) as n, sum(('0x' || substr(md5(o_orderkey || '|' || o_custkey || '|' || o_orderpriority), 1, 15))::bigint)::decimal(38, 0)::varchar || ':' || sum(('0x' || substr(md5(o_orderkey || '|' || o_custkey || '|' || o_orderpriority), 16, 15))::bigint)::decimal(38, 0)::varchar as digest from orders group by 1)
+select o_orderstatus, coalesce(n, 0) as n, coalesce(expected, 0) as expected, coalesce(n, 0) = coalesce(expected, 0) as matches, digest from o full join e using (o_orderstatus)""")
 def s10(spark, d):
-    o = table(spark, d, "orders")
-    return o.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), j.digest(o, ["o_orderkey", "o_custkey", "o_orderpriority"]).alias("digest"))
+    """Orders by status against the counts that their lines tell."""
+    every = lambda x: F.bool_and(F.col("l_linestatus") == x)
+    told = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.when(every("F"), "F").when(every("O"), "O").otherwise("P").alias("o_orderstatus"))
+    return j.freeze(table(spark, d, "orders"), "o_orderstatus", ["o_orderkey", "o_custkey", "o_orderpriority"], told.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")))

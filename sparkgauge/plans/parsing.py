@@ -10,13 +10,16 @@ from sparkgauge.plans.registry import query, table
 R6 = lambda c: F.round(c, 6)
 
 NORM = r"""
-with b as ({src}), f as (select *, trim(regexp_replace(lower(replace(regexp_replace(regexp_replace({col}, '\.[A-Za-z]{{2,4}}$', ''), '\s*\(\d+\)$', ''), '_', ' ')), '\s+', ' ', 'g')) as flat from b)
-select {keep}, case when regexp_extract(flat, 'snap-?\s*(\d+)', 1) <> '' then 'snap-' || regexp_extract(flat, 'snap-?\s*(\d+)', 1) else flat end as name_key from f"""
+with b as ({src}), f as (select *, regexp_replace(trim(lower(regexp_replace({col}, '\.[A-Za-z]{{2,4}}$', ''))), '\s*\([0-9]+\)\s*$', '') as base from b)
+select {keep}, case when regexp_extract(base, 'snap[\s_-]*0*([0-9]+)', 1) <> '' then 'snap-' || regexp_extract(base, 'snap[\s_-]*0*([0-9]+)', 1) else trim(regexp_replace(replace(base, '_', ' '), '\s+', ' ', 'g')) end as name_key from f"""
 
 
-@query("p1_norm_key", NORM.format(src="select p_partkey, upper(p_name) || '_A (' || p_partkey || ').tif' as raw from part", col="raw", keep="p_partkey"))
+@query("p1_norm_key", NORM.format(src="select p_partkey, case when p_size < 10 then 'Field_Snap_0' || p_partkey || ' ' || p_size || 'h (2).TIF' else upper(p_name) || '_A (' || p_partkey || ').tif' end as raw from part", col="raw", keep="p_partkey"))
 def p1(spark, d):
-    raw = F.concat(F.upper("p_name"), F.lit("_A ("), F.col("p_partkey").cast("string"), F.lit(").tif"))
+    """Snaps of the small parts, names of the others."""
+    number = F.col("p_partkey").cast("string")
+    snap = F.concat(F.lit("Field_Snap_0"), number, F.lit(" "), F.col("p_size").cast("string"), F.lit("h (2).TIF"))
+    raw = F.when(F.col("p_size") < 10, snap).otherwise(F.concat(F.upper("p_name"), F.lit("_A ("), number, F.lit(").tif")))
     return table(spark, d, "part").select("p_partkey", parse.norm_key(raw).alias("name_key"))
 
 
@@ -120,10 +123,15 @@ def p13(spark, d):
     return _polygons(spark, d).select("k", R6(parse.shoelace(F.col("x"), F.col("y"))).alias("area"))
 
 
-@query("p14_normalise_coords", """select l_orderkey, l_linenumber, l_partkey, round(least(greatest(l_quantity / 40, 0), 1), 6) as y, (l_quantity / 40 > 1)::bigint as clamped from lineitem""")
+@query("p14_normalise_coords", """with c as (select l_orderkey, l_linenumber, l_partkey, [(l_quantity - 5) / 40, l_extendedprice / 50000, (l_quantity + 10) / 40, (l_extendedprice - 5000) / 50000, l_quantity / 40, null] as s from lineitem)
+select l_orderkey, l_linenumber, l_partkey, round(list_sum(list_transform(s, lambda x: least(greatest(x, 0), 1))), 6) as total, len(list_filter(s, lambda x: x < 0 or x > 1))::bigint as clamped from c""")
 def p14(spark, d):
-    y = F.col("l_quantity") / 40
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", R6(F.least(F.greatest(y, F.lit(0.0)), F.lit(1.0))).alias("y"), (y > 1).cast("bigint").alias("clamped"))
+    """Triangles on a canvas of 40 by 50000, some of them over its edge, their last coordinate lost."""
+    q, e = F.col("l_quantity"), F.col("l_extendedprice")
+    coords = F.array(q - 5, e, q + 10, e - 5000, q, F.lit(None).cast("double"))
+    out = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", parse.normalise_coords(coords, F.lit(40.0), F.lit(50000.0)).alias("n"))
+    total = F.aggregate("n.coords", F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", R6(total).alias("total"), F.col("n.clamped").cast("bigint").alias("clamped"))
 
 
 @query("p15_vector_correlation", """

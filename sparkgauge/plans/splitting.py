@@ -204,11 +204,13 @@ def g20(spark, d):
     return have.select("user_id", "event_type", missing.cast("bigint").alias("missing"), (missing == 0).alias("complete"))
 
 
-@query("g21_conservation", "select count(*) as total, count(*) filter (label_id is not null) as labelled, count(*) filter (label_id is null) as excluded, true as conserved from (select d.doc_id, l.doc_id as label_id from documents d left join labels l using (doc_id))")
+@query("g21_conservation", """with t as (select (select count(*) from documents) as total, (select count(*) from documents where doc_id in (select doc_id from labels)) as labelled, (select count(*) from documents where doc_id is null or doc_id not in (select doc_id from labels where doc_id is not null)) as excluded,
+  (select count(*) from labels) as labels, (select count(*) from labels where doc_id is null or doc_id not in (select doc_id from documents where doc_id is not null)) as orphan_labels, (select count(distinct doc_id) from labels) as label_ids)
+select *, total = labelled + excluded and orphan_labels = 0 and labels = label_ids as conserved from t""")
 def g21(spark, d):
-    j = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", F.lit(True).alias("l")), "doc_id", "left")
-    out = j.agg(F.count(F.lit(1)).alias("total"), F.count("l").alias("labelled"), F.count_if(F.col("l").isNull()).alias("excluded"))
-    return out.withColumn("conserved", F.col("total") == F.col("labelled") + F.col("excluded"))
+    """Documents in = labelled + excluded, each counted by itself; and no label is without its document or double."""
+    docs, labels = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id")
+    return g.conservation(docs, labels, "doc_id")
 
 
 @query("g22_diverse_topk", """with b as (select *, row_number() over (partition by source order by n_chars desc, doc_id) as rk from documents), f as (select doc_id, source, n_chars from b where rk = 1 order by n_chars desc, doc_id limit 4)
