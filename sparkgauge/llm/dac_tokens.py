@@ -5,14 +5,16 @@ continuation bitmap says which ids go on, and level 1 holds the second chunk of
 directory over each bitmap (the number of set bits before every 512th position) makes the place of an id's next chunk a
 matter of one directory read and a count over at most 512 bits, so any id is read without decoding a block.
 
-One row of the table is one document: ``doc_id, n_tokens, levels`` (one binary per level), ``bitmaps`` and
+One row of the table is one document: ``doc_id, place, n_tokens, levels`` (one binary per level), ``bitmaps`` and
 ``ranks``.  The files of the table are ranges of doc_id in ascending order, each file sorted.
 """
 
 from __future__ import annotations
 
 import functools
+import gc
 import os
+import re
 import uuid
 import zlib
 
@@ -20,13 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from sparkgauge.llm.pieces import Memory, splitter
+from sparkgauge.llm.pieces import WHITE, Memory
 from sparkgauge.session import checkpoint_folder
 
 RANK_STEP = 512
 WORDS_KEPT = 1_000_000
-# The split of the byte-level tokenizer before its merges.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# White space and what follows it: the tokenizer's split before its merges never joins a character and white space behind it.
+UNITS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
 def pack(ids: np.ndarray) -> tuple[list[bytes], list[bytes], list[bytes]]:
@@ -79,69 +81,76 @@ def _tokenizer(path: str):
 
     made = Tokenizer.from_file(path)
     special = [t.content for t in made.get_added_tokens_decoder().values()]
-    return made, special, splitter(PATTERN), Memory(WORDS_KEPT)
+    return made, special, Memory(WORDS_KEPT)
 
 
 def token_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
-    """Ids of each text; pieces that were met before are not encoded again.
+    """Ids of each text; units that were met before are not encoded again.
 
-    The tokenizer splits a text by PATTERN and encodes the pieces one by one, so a text's ids are its pieces'
-    ids.  A text that holds the string of a special token is encoded as a whole.
+    A text's ids are its units' ids, as the tokenizer never joins two of them.  A text that holds the string of a special token is
+    encoded as a whole.
     """
-    made, special, split, memory = _tokenizer(path)
-    pieces = [None if any(s in t for s in special) else split(t) for t in (t or "" for t in texts)]
-    found = [None if p is None else list(map(memory.young.get, p)) for p in pieces]
-    new = {w for p, f in zip(pieces, found, strict=True) if f and None in f for w, x in zip(p, f, strict=True) if x is None}
+    made, special, memory = _tokenizer(path)
+    units = [None if any(s in t for s in special) else UNITS.findall(t) for t in (t or "" for t in texts)]
+    known = memory.young
+    new = set().union(*filter(None, units)) - known.keys()
     if new:
-        memory.learn(new, lambda words: [np.array(e.ids, "<u4").tobytes() for e in made.encode_batch_fast(words, add_special_tokens=False)])
-    out = []
-    for text, words, parts in zip(texts, pieces, found, strict=True):
-        if words is None:
-            out.append(np.array(made.encode(text, add_special_tokens=False).ids, "<u4"))
-        else:
-            out.append(np.frombuffer(b"".join([memory.young[w] if x is None else x for w, x in zip(words, parts, strict=True)] if None in parts else parts), "<u4"))
-    return out
+        encode = lambda words: [np.array(e.ids, "<u4").tobytes() for e in made.encode_batch_fast(words, add_special_tokens=False)]
+        # where the memory turns over, all that is looked up next must be young
+        memory.learn(set().union(*filter(None, units)) if len(known) + len(new) > memory.kept // 2 else new, encode)
+        known = memory.young
+    return [
+        np.array(made.encode(text, add_special_tokens=False).ids, "<u4") if own is None else np.frombuffer(b"".join(map(known.__getitem__, own)), "<u4")
+        for text, own in zip(texts, units, strict=True)
+    ]
 
 
 def encode(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, levels, bitmaps, ranks: each whole text's ids and ``end_id``, packed; rows keep their order.
+    """doc_id, place, n_tokens, levels, bitmaps, ranks: each whole text's ids and ``end_id``, packed.
 
-    A null or empty text has the end id alone; null ids and repeated rows are rows like any other; other columns are not read.
+    Rows keep their order, and ``place`` numbers those of a partition.  A null or empty text has the end id alone; null ids and repeated
+    rows are rows like any other; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        binaries = pa.list_(pa.binary())
+        binaries, place = pa.list_(pa.binary()), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 part = batch.slice(at, 250)
-                ids = [np.append(x, np.uint32(end_id)) for x in token_ids(part.column("text").to_pylist(), path)]
-                packed = [pack(x) for x in ids]
+                gc.disable()  # many small objects and no cycles
+                try:
+                    ids = [np.append(x, np.uint32(end_id)) for x in token_ids(part.column("text").to_pylist(), path)]
+                    packed = [pack(x) for x in ids]
+                finally:
+                    gc.enable()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), *(pa.array([p[k] for p in packed], binaries) for k in range(3))],
-                    names=["doc_id", "n_tokens", "levels", "bitmaps", "ranks"],
+                    [part.column("doc_id"), pa.array(np.arange(place, place + len(ids))), pa.array([len(x) for x in ids], pa.int64()), *(pa.array([p[k] for p in packed], binaries) for k in range(3))],
+                    names=["doc_id", "place", "n_tokens", "levels", "bitmaps", "ranks"],
                 )
+                place += len(ids)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, levels array<binary>, bitmaps array<binary>, ranks array<binary>")
+    return rows.mapInArrow(run, f"doc_id {kind}, place bigint, n_tokens bigint, levels array<binary>, bitmaps array<binary>, ranks array<binary>")
 
 
 def write(docs: DataFrame, target: str, path: str, end_id: int, files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the table as files that are ranges of doc_id (nulls first), each sorted; one doc_id's rows share a file.
+    """Write the table as files that are ranges of doc_id (nulls first) and, among the rows of one id, of the text's hash, each sorted.
 
-    Texts are dealt out before they are encoded: finding the ranges reads its input once more.
+    So an id that a third of all rows share is many files.  Texts are dealt out before they are encoded: finding the ranges reads its
+    input once more.
     """
-    by = F.col(id_col).asc_nulls_first()
+    by = [F.col(id_col).asc_nulls_first(), F.xxhash64(text_col)]
     rows = docs.select(id_col, text_col)
-    dealt = rows.repartitionByRange(files, by) if files else rows.repartitionByRange(by)
-    encode(dealt.sortWithinPartitions(by), path, end_id, id_col, text_col).write.mode("error").parquet(target)
+    dealt = rows.repartitionByRange(files, *by) if files else rows.repartitionByRange(*by)
+    encode(dealt.sortWithinPartitions(*by), path, end_id, id_col, text_col).write.mode("error").parquet(target)
 
 
 def read(spark: SparkSession, target: str) -> DataFrame:
     """Read the files back: doc_id, start, n_tokens, ids_crc32.
 
-    ``start`` counts the ids of all documents before: file totals are summed over the files' order, and rows of one file are
-    summed inside it.
+    ``start`` counts the ids of all documents that lie before in the files: file totals are summed over the files' order, and rows of one
+    file are summed in the order that they were written in.
     """
     table = spark.read.parquet(target).withColumn("file", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int"))
 
@@ -150,15 +159,15 @@ def read(spark: SparkSession, target: str) -> DataFrame:
             levels, bitmaps = batch.column("levels").to_pylist(), batch.column("bitmaps").to_pylist()
             ids = [unpack(x, y) for x, y in zip(levels, bitmaps, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("file"), batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())],
-                names=["file", "doc_id", "n_tokens", "ids_crc32"],
+                [batch.column("file"), batch.column("doc_id"), batch.column("place"), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())],
+                names=["file", "doc_id", "place", "n_tokens", "ids_crc32"],
             )
 
     kind = table.schema["doc_id"].dataType.simpleString()
-    rows = table.select("file", "doc_id", "levels", "bitmaps").mapInArrow(run, f"file int, doc_id {kind}, n_tokens bigint, ids_crc32 bigint")
+    rows = table.select("file", "doc_id", "place", "levels", "bitmaps").mapInArrow(run, f"file int, doc_id {kind}, place bigint, n_tokens bigint, ids_crc32 bigint")
     totals = table.groupBy("file").agg(F.sum("n_tokens").alias("_n"))  # one row for each file
     base = totals.select("file", F.coalesce(F.sum("_n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    before = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     return rows.join(base, "file").select(
         "doc_id", (F.col("_base") + F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).cast("bigint").alias("start"), "n_tokens", "ids_crc32"
     )
