@@ -16,7 +16,7 @@ from sparkgauge.plans.registry import ORACLES, QUERIES
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 # the widest of each family; the driver compares them all
-SOME = ["split_audit", "g3_fused_groups", "q2_plausibility", "q3_frame_flags", "q5_series_decision", "j3_recover_source", "j8_near_duplicates", "d8_bland_altman", "d15_stratified_error", "r2_average_precision", "r12_bootstrap_difference", "s5_label_lines"]
+SOME = ["split_audit", "g3_fused_groups", "q2_plausibility", "q3_frame_flags", "q5_series_decision", "j3_recover_source", "j8_near_duplicates", "d8_bland_altman", "d15_stratified_error", "r2_average_precision", "r12_bootstrap_difference", "s5_label_lines", "g15_best_split", "j8_similar_vectors", "d24_enrichment", "d10_tost", "q13_run_check", "s2_polygons", "x1_log_stream"]
 
 
 def plain(value):
