@@ -158,3 +158,14 @@ def test_fuzzy_lines(spark):
         want = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)
         assert got[i].text == want and got[i].id == 7 and got[i].h == "x"
     assert fuzzy_lines.dedup_lines(frame(spark, rows).where("false")).count() == 0
+
+
+def test_lines_of_repeated_and_null_ids(spark):
+    """Rows of one id are documents of their own: a line goes only where it repeats an earlier one itself."""
+    again = "a line that stands in several documents"
+    rows = [(1, f"{again}\nfirst of its own kind here"), (None, f"{again}\nbeginning that is met once"), (None, f"wholly other words stand there\n{again}"), (2, f"{again}\nsecond thing nobody repeats"), (2, f"nothing like it anywhere else\n{again}")]
+    for radius in (None, 3):
+        got = [(r.doc_id, r.text) for r in fuzzy_lines.dedup_lines(frame(spark, rows), radius=radius).collect()]
+        lines = [x for _, t in got for x in t.split("\n")]
+        assert len(got) == 5 and lines.count(again) == 1 and any(i is None and again in t for i, t in got)
+        assert {x for _, t in rows for x in t.split("\n")} == set(lines) - {""}
