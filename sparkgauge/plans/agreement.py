@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from sparkgauge.functions import beta
+from sparkgauge.functions.numbers import ordered_sum, quotient, rounded as rounded_to
 from sparkgauge.operators import stats as st
 from sparkgauge.operators.ordering import percentiles
 from sparkgauge.plans.registry import query, table
 from sparkgauge.session import stored
 
-R6 = lambda c: F.round(c, 6)
+R6 = rounded_to
 # a mean may lie on a tie of the sixth place, and sums in another order fall on either side of it
-R96 = lambda c: F.round(F.round(c, 9), 6)
+R96 = lambda c: R6(rounded_to(c, 9))
 
 
 def rounded(df, keep, cols):
@@ -20,9 +21,10 @@ def rounded(df, keep, cols):
 
 
 def pairs(spark, d):
+    """Median and mean of a unit's events of a week, the mean summed in the order of the events: x and y are compared bit by bit."""
     week = F.call_function("div", F.datediff(F.to_date("ts"), F.lit("2024-01-01")), F.lit(7)).cast("int")
-    e = table(spark, d, "events").select((F.col("event_id") % 5).alias("run"), F.col("user_id").alias("unit"), week.alias("tp"), "value")
-    return e.groupBy("run", "unit", "tp").agg((F.percentile("value", 0.5) / 100).alias("x"), (F.avg("value") / 100).alias("y"))
+    e = table(spark, d, "events").select("event_id", (F.col("event_id") % 5).alias("run"), F.col("user_id").alias("unit"), week.alias("tp"), "value")
+    return e.groupBy("run", "unit", "tp").agg((F.percentile("value", 0.5) / 100).alias("x"), (ordered_sum("value", "event_id") / F.count("value") / 100).alias("y"))
 
 
 OB = "ob as (select event_id % 5 as run, user_id as unit, (date_diff('day', timestamp '2024-01-01', ts) // 7)::int as tp, quantile_cont(value, 0.5) / 100 as x, avg(value) / 100 as y from events group by all)"
@@ -135,7 +137,7 @@ def d13(spark, d):
 @query("d14_error_report", f"""with {OB}, dd as (select run, x, y, y - x as d from ob) select run, count(*) as n, round(avg(d), 6) as bias, round(quantile_cont(abs(d), 0.5), 6) as mdae, round(max(abs(d)), 6) as worst, round(avg((d = 0)::int), 6) as unchanged, round(avg((abs(d) > 0.1)::int), 6) as over_10,
   count(*) filter (sign(x - 0.4) <> sign(y - 0.4)) as sign_changes, count(*) filter (y > 1) as off_scale, round(quantile_cont(d / x, 0.5), 6) as relative from dd group by 1""")
 def d14(spark, d):
-    p = stored(pairs(spark, d).withColumn("d", F.col("y") - F.col("x")).withColumns({"a": F.abs("d"), "rel": F.col("d") / F.col("x")}))
+    p = stored(pairs(spark, d).withColumn("d", F.col("y") - F.col("x")).withColumns({"a": F.abs("d"), "rel": quotient(F.col("d"), F.col("x"))}))
     share = lambda c: R6(F.avg(F.when(c, 1).otherwise(0)))
     m = p.groupBy("run").agg(
         F.count(F.lit(1)).alias("n"), R6(F.avg("d")).alias("bias"), R6(F.max("a")).alias("worst"), share(F.col("d") == 0).alias("unchanged"), share(F.col("a") > 0.1).alias("over_10"),
@@ -274,7 +276,7 @@ def d27(spark, d):
     s = pairs(spark, d).where("run = 0").select("unit", "tp", F.col("x").alias("before"), F.when((F.col("unit") % 10 == 0) & F.col("tp").isin(0, 2), F.col("y")).otherwise(F.col("x")).alias("after"))
     base = s.where("tp = 0").select("unit", F.col("before").alias("b0"), F.col("after").alias("a0"))
     moved = s.join(base, "unit").groupBy("unit").agg(
-        F.max(F.abs((F.col("b0") - F.col("before")) / F.col("b0") - (F.col("a0") - F.col("after")) / F.col("a0"))).alias("shift"),
+        F.max(F.abs(quotient(F.col("b0") - F.col("before"), F.col("b0")) - quotient(F.col("a0") - F.col("after"), F.col("a0")))).alias("shift"),
         (F.max("b0") != F.max("a0")).alias("baseline_changed"), F.max(F.abs(F.col("before") - F.col("after"))).alias("moved"),
     )
     return moved.where("moved > 0").select("unit", R6("shift").alias("shift"), "baseline_changed")
