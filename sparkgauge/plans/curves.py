@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import Window, functions as F
 
 from sparkgauge import vocabulary as v
+from sparkgauge.functions.numbers import ordered_sum, rounded
 from sparkgauge.operators import series as s
 from sparkgauge.operators.ordering import percentiles, rank_rows
 from sparkgauge.plans.registry import query, table
 from sparkgauge.session import checkpoint_folder, stored
 from sparkgauge.streaming.correction_log import follow, outcomes
 
-R6 = lambda c: F.round(c, 6)
+R6 = rounded
 
 
 def frames(spark, d):
@@ -167,7 +168,7 @@ def q8_profile(spark, d):
 @query("q9_ratio_qc", f"""with {FR}, m as (select unit, tp, sum(area) filter (field = 'view') as a, sum(area) filter (field = 'click') as b from fr group by 1, 2)
 select unit, tp, case when a is null then 'sem_a' when b is null then 'sem_b' else 'ok' end as status, round(a / nullif(b, 0), 6) as ratio, coalesce(a / nullif(b, 0) not between 0.5 and 2, false) as flagged from m""")
 def q9(spark, d):
-    pick = lambda k: F.sum(F.when(F.col("field") == k, F.col("area")))
+    pick = lambda k: ordered_sum(F.when(F.col("field") == k, F.col("area")), "frame")
     m = frames(spark, d).groupBy("unit", "tp").agg(pick("view").alias("a"), pick("click").alias("b"))
     ratio = F.col("a") / F.nullif(F.col("b"), F.lit(0.0))
     return m.select("unit", "tp", F.when(F.col("a").isNull(), "sem_a").when(F.col("b").isNull(), "sem_b").otherwise("ok").alias("status"), R6(ratio).alias("ratio"), F.coalesce(~ratio.between(0.5, 2), F.lit(False)).alias("flagged"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkgauge.functions.hashing import hash52_sql
+from sparkgauge.functions.numbers import rounded
 from sparkgauge.operators import ranking as r, resample
 from sparkgauge.operators.ordering import percentiles
 from sparkgauge.plans.registry import query, table
 from sparkgauge.session import stored
 
-R6 = lambda c: F.round(c, 6)
+R6 = rounded
 B = resample.REPLICATES
 GROUP = 8  # neighbouring vectors are one group
 THRESHOLDS = [0, 2000, 4000, 8000, 16000]
@@ -215,7 +216,7 @@ select count(*) as valid, count(distinct round(med, 6))::bigint as medians, roun
 def r13(spark, d):
     """Weights instead of repeated rows: a weighted median and weighted moments a replicate."""
     e = table(spark, d, "events")
-    o = e.groupBy("user_id").agg(F.round(F.percentile("value", 0.5), 4).alias("x"), F.round(F.avg("value"), 4).alias("y"))
+    o = e.groupBy("user_id").agg(rounded(F.percentile("value", 0.5), 4).alias("x"), rounded(F.avg("value"), 4).alias("y"))
     z = stored(o.join(r.draws(e, "user_id", B, 11), "user_id").select("rep", "x", "y", "w", (F.col("y") - F.col("x")).alias("diff")))
     of = lambda c: F.sum(F.col("w") * c) / F.sum("w")
     x, y = F.col("x"), F.col("y")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkgauge.functions.numbers import rounded
 from sparkgauge.operators import parse
 from sparkgauge.plans.registry import query, table
 
-R6 = lambda c: F.round(c, 6)
+R6 = rounded
 
 NORM = r"""
 with b as ({src}), f as (select *, regexp_replace(trim(lower(regexp_replace({col}, '\.[A-Za-z]{{2,4}}$', ''))), '\s*\([0-9]+\)\s*$', '') as base from b)
