@@ -13,6 +13,7 @@ The cost is B bytes for each cell and group that meet, and one pass of B numbers
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ REPLICATES = 5000
 BLOCK = 250  # replicates that meet in one task
 CELL_ROWS = 4096  # rows of detections that a task ranks at once
 PRIME = 2147483647
+DRAWN_BYTES = 32 << 20  # a task's counts of draws
+DRAWS = 1 << 16  # drawn at once
 PART = 1024  # equal rows that draw their Poisson count together
 
 
@@ -36,19 +39,35 @@ def draw_vectors(groups: DataFrame, group: str, replicates: int, seed) -> DataFr
     Draw i of replicate b takes group number hash(seed, b, i) mod G; groups are numbered in the order of their key.
     """
     numbered = stored(rank_rows(groups.select(F.col(group).alias("_key")).where(F.col("_key").isNotNull()).distinct(), [], "_key", [], "_no"))
-    n = max(numbered.count(), 1)
-    picks = numbered.select((F.col("_no") - 1).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    picks = picks.select((hash52(seed, "rep", "i") % n + 1).alias("no"), F.col("rep").cast("int").alias("rep"))
-
-    def counted(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        w = np.bincount(table.column("rep").to_numpy(), minlength=replicates)
-        if w.max() > 255:
-            raise ValueError("a group is drawn more than 255 times in a replicate")
-        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([w.astype(np.uint8).tobytes()], pa.binary())], names=["no", "w"])
-
-    drawn = picks.groupBy("no").applyInArrow(counted, "no bigint, w binary")
-    none = F.lit(bytes(replicates))
-    return numbered.join(drawn, F.col("_no") == F.col("no"), "left").select(F.col("_key").alias(group), F.coalesce("w", none).alias("w"))
+    n = numbered.count()
+    if not n:
+        return numbered.select(F.col("_key").alias(group), F.lit(b"").alias("w"))
+    # replicates that a task draws: it counts them in so many bytes a group, and ranges are cut between replicates
+    per = max(k for k in range(1, min(replicates, BLOCK, max(DRAWN_BYTES // n, 1)) + 1) if replicates % k == 0)
+    windows = groups.sparkSession.range(0, replicates // per, 1, replicates // per)
+
+    def counted(batches):
+        for window in (x for batch in batches for x in batch.column("id").to_pylist()):
+            held = np.zeros((n, per), np.uint8)
+            for at in range(0, n, DRAWS):
+                parts = [b"|%d:%d" % (len(str(i)), i) for i in range(at, min(at + DRAWS, n))]
+                for k in range(per):
+                    rep = window * per + k
+                    # the numbers of ``hash52(seed, rep, i)``: the first 52 bits
+                    head = f"{seed}|{len(str(rep))}:{rep}".encode()
+                    bits = np.frombuffer(b"".join([md5(head + x).digest() for x in parts]), ">u8")[::2] >> 12
+                    drawn, times = np.unique(bits % n, return_counts=True)
+                    total = held[drawn, k] + times
+                    if (total > 255).any():
+                        raise ValueError("a group is drawn more than 255 times in a replicate")
+                    held[drawn, k] = total
+            for at in range(0, n, 4096):
+                rows = held[at : at + 4096]
+                yield pa.record_batch([pa.array(np.arange(at, at + len(rows)) + 1, pa.int64()), pa.array([window] * len(rows), pa.int32()), pa.array([x.tobytes() for x in rows], pa.binary())], names=["no", "at", "w"])
+
+    parts = windows.mapInArrow(counted, "no bigint, at int, w binary").groupBy("no").agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("p"))
+    drawn = parts.select("no", F.aggregate("p", F.lit(b""), lambda s, x: F.concat(s, x["w"])).alias("w"))
+    return numbered.join(drawn, F.col("_no") == F.col("no")).select(F.col("_key").alias(group), "w")
 
 
 def unit_vectors(groups: DataFrame, group: str, replicates: int = 1) -> DataFrame:

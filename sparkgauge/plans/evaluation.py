@@ -22,19 +22,25 @@ def scored(spark, d):
 
     The first and the second half of the components are two configurations, their odd and even components two runs of each.
     """
-    e = table(spark, d, "embeddings").select(
-        "vec_id", "label", F.size("embedding").alias("size"),
-        F.posexplode(F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))).alias("i", "x"),
-    )
-    half = F.call_function("div", F.col("size"), F.lit(2))
-    e = e.select("vec_id", "label", F.when(F.col("i") < half, "first").otherwise("second").alias("config"), ((F.col("i") + 1) % 2).alias("seed"), "i", "x")
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("x"))
+    # the components of a run: position and number; a place in the first half may lie in the second one of a shorter vector
+    both = F.transform("x", lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    runs = [(config, seed) for config in ("first", "second") for seed in (0, 1)]
+    half = F.call_function("div", F.size("x"), F.lit(2))
+
+    def part(config, seed):
+        inside = (lambda t: t["i"] < half) if config == "first" else (lambda t: t["i"] >= half)
+        return F.filter(both, lambda t: inside(t) & ((t["i"] + 1) % 2 == seed))
+
+    own = e.select("vec_id", "label", F.explode(F.array(*[F.struct(F.lit(c).alias("config"), F.lit(s).alias("seed"), part(c, s).alias("v")) for c, s in runs])).alias("r"))
+    own = own.select("vec_id", "label", "r.*").where(F.size("v") > 0)
     by = ["config", "seed", "cls"]
-    sums = e.where("label is not null").groupBy("config", "seed", F.col("label").alias("cls"), "i").agg(F.sum("x").alias("c"))
-    sums = sums.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("i", "c"))).alias("c"))
-    own = e.groupBy("vec_id", "label", "config", "seed").agg(F.collect_list(F.struct("i", "x")).alias("v"))
-    part = F.transform("v", lambda t: t["x"] * F.coalesce(F.col("c")[t["i"]], F.lit(0)))
-    score = F.aggregate(part, F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return own.join(sums, ["config", "seed"]).select("vec_id", F.call_function("div", F.col("vec_id"), F.lit(GROUP)).alias("grp"), "label", *by, score.alias("score"))
+    of_label = own.where("label is not null").select("config", "seed", F.col("label").alias("cls"), F.explode("v").alias("t")).groupBy(*by, "t.i").agg(F.sum("t.x").alias("c"))
+    # sums by position, 0 between
+    sums = of_label.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("i", "c"))).alias("m"), F.max("i").alias("last"))
+    sums = sums.select(*by, F.transform(F.sequence(F.lit(0), "last"), lambda i: F.coalesce(F.col("m")[i], F.lit(0))).alias("c"))
+    score = F.aggregate("v", F.lit(0).cast("bigint"), lambda s, t: s + t["x"] * F.coalesce(F.get("c", t["i"]), F.lit(0)))
+    return own.join(F.broadcast(sums), ["config", "seed"]).select("vec_id", F.call_function("div", F.col("vec_id"), F.lit(GROUP)).alias("grp"), "label", *by, score.alias("score"))  # a row a run and class
 
 
 def detections(spark, d):

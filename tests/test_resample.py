@@ -103,3 +103,22 @@ def test_poisson_table():
         cdf = resample.poisson_cdf(mean)
         draws = np.searchsorted(cdf, (np.arange(200_000) + 0.5) / 200_000, "right")
         assert math.isclose(draws.mean(), mean, rel_tol=1e-3) and math.isclose(draws.var(), mean, rel_tol=1e-2)
+
+
+def test_draws_in_windows_are_those_of_the_hash(spark, monkeypatch):
+    """Each task draws whole replicates for all groups, in one byte a group and replicate: no row a draw."""
+    import hashlib
+
+    keys = list(range(3, 40))
+    groups = spark.createDataFrame([(k,) for k in keys], "g int")
+    want = {k: [0] * 12 for k in keys}
+    for rep in range(12):
+        for i in range(len(keys)):
+            text = f"11|{len(str(rep))}:{rep}|{len(str(i))}:{i}"
+            want[keys[int(hashlib.md5(text.encode()).hexdigest()[:13], 16) % len(keys)]][rep] += 1
+    for room in (1 << 20, 3 * len(keys), 1):
+        monkeypatch.setattr(resample, "DRAWN_BYTES", room)
+        drawn = resample.draw_vectors(groups, "g", 12, 11)
+        assert "explode" not in drawn._jdf.queryExecution().toString().lower()
+        assert {r.g: list(r.w) for r in drawn.collect()} == want
+    assert resample.draw_vectors(groups.where("false"), "g", 12, 11).count() == 0
