@@ -118,3 +118,16 @@ def test_near_pairs_equal_all_pairs(spark):
     rows = spark.createDataFrame([(i, e) for i, s in sets.items() for e in s], "id long, e long")
     got = {(x.a, x.b) for x in joins.near_pairs(rows, "id", "e", 0.6).collect()}
     assert got == {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b]) - 1e-12}
+
+
+def test_near_sets_shuffle_no_entries(spark):
+    """Hashes that meet by chance or by place neither lose nor add pairs, and entries are only read for candidates."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    sets = {0: base[:60], 1: [*base[:57], "x", "y", "z"], 2: base[40:100], 3: [], 4: ["one"], 5: ["one"], 6: base[:48]}
+    sets |= {k: rng.sample(base, 30) for k in range(7, 40)}
+    rows = spark.createDataFrame([(k, v) for k, v in sets.items()], "id int, e array<string>")
+    want = {(a, b) for a in sets for b in sets if a < b and sets[a] and len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))}
+    out = joins.near_sets(rows, F.col("e"), 0.8)
+    assert {(x.a, x.b) for x in out.collect()} == want and (0, 1) in want and (4, 5) in want
+    assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
