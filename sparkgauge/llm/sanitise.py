@@ -2,7 +2,7 @@
 
 Protected entities are the base matches (email, ip, card, phone).  How strongly a term t reveals an entity e is their
 pointwise mutual information over the corpus, PMI(t; e) = log(N co(t, e) / (df(t) df(e))), where co counts documents that
-have t close to e; its share of what there is to know about e, PMI / log(N / df(e)), is t's disclosure.
+hold both, t outside the entities; its share of what there is to know about e, PMI / log(N / df(e)), is t's disclosure.
 In a document that mentions e, terms whose disclosure reaches ``generalise_at`` become a general label, and
 those that reach ``remove_at`` go.  Counts are over all documents, and an entity or a term that a third of them hold is
 counted in each task before it is shuffled.
@@ -27,7 +27,6 @@ PATTERNS = {
 }
 TERM = r"[^\p{L}]+"
 TERM_LENGTH = 4
-CLOSE = 60  # characters on either side of an entity
 
 
 def located(text: Column, pattern: str | Column) -> Column:
@@ -91,13 +90,16 @@ def _terms(text: Column) -> Column:
 def disclosing_terms(based: DataFrame, rows: DataFrame, documents: int, generalise_at: float, support: int) -> DataFrame:
     """id, term, disclosure: the terms that reveal an entity of the document, at their strongest."""
     spans = F.concat(*[_each(k, lambda k, m: F.struct(F.concat(F.lit(f"{k}:"), F.lower(m["value"])).alias("entity"), m["start"].alias("start"), m["end"].alias("end"))) for k in KINDS])
-    met = based.where(F.size(F.concat(*KINDS)) > 0).select("id", "text", F.explode(spans).alias("m"))
-    begin = F.greatest(F.col("m.start") - CLOSE, F.lit(0))
-    around = F.concat_ws(" ", F.substring("text", begin + 1, F.col("m.start") - begin), F.substring(F.col("text"), F.col("m.end") + 1, F.lit(CLOSE)))
-    near = cut(met.select("id", "m.entity", _terms(around).alias("terms")))
-    holds = near.select("id", "entity").distinct()
+    met = based.where(F.size(F.concat(*KINDS)) > 0).select("id", "text", F.array_sort(F.transform(spans, lambda m: F.struct(m["start"], m["end"], m["entity"]))).alias("spans"))
+    holds = cut(met.select("id", F.explode("spans.entity").alias("entity")).distinct())
     entities = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("df_e")).where(F.col("df_e") >= support)
-    pairs = near.select("id", "entity", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("co")).where(F.col("co") >= support)
+    known = holds.join(entities.select("entity"), "entity")
+    # every term of a document that holds such an entity, wherever it stands outside the entities themselves
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    gap = lambda s, m: F.struct(F.greatest(s["at"], m["end"]).alias("at"), F.when(m["start"] > s["at"], F.concat(s["out"], F.array(F.substring(F.col("text"), s["at"] + 1, m["start"] - s["at"])))).otherwise(s["out"]).alias("out"))
+    beside = F.aggregate("spans", begin, gap, lambda s: F.concat_ws(" ", F.concat(s["out"], F.array(F.substring(F.col("text"), s["at"] + 1, F.length("text"))))))
+    within = met.join(known.select("id").distinct(), "id", "left_semi").select("id", F.explode(_terms(beside)).alias("term")).distinct()
+    pairs = known.join(within, "id").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("co")).where(F.col("co") >= support)
     terms = rows.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
     scored = pairs.join(entities, "entity").join(terms, "term").withColumn(
         "disclosure",
@@ -113,7 +115,7 @@ def sanitise(
     """doc_id, arrays of spans (start, end, value) email, ip, card, phone, term, gone, and the sanitised text.
 
     One row per input row.  A null text counts as empty; offsets are code points, the end exclusive.  Terms are runs of
-    ``TERM_LENGTH`` letters or more, met within ``CLOSE`` characters of an entity in at least ``support`` documents.  Null ids
+    ``TERM_LENGTH`` letters or more that stand with an entity in at least ``support`` documents, at any distance.  Null ids
     count as one id; rows that repeat an id are one document to the counts' entities and keep their own spans; an
     empty table gives no rows; other columns are not read.
     """

@@ -111,6 +111,16 @@ def test_sanitisation(spark):
     assert out.count() == len(rows) and sanitise.sanitise(d.where("false")).count() == 0
 
 
+def test_sanitisation_far_from_the_entity(spark):
+    """A term reveals an entity of its document from any distance; letters of the entity itself are no terms."""
+    far = " ".join(prose(90 + k, 60) for k in range(2))
+    rows = [(k, f"Quuxington {prose(k, 40)} {far} mail boss@corp.example {prose(50 + k, 20)}") for k in range(6)] + [(100 + k, f"{prose(k, 40)} {far} {prose(50 + k, 20)}") for k in range(12)]
+    got = {x.doc_id: x for x in sanitise.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("Quuxington" not in got[k].sanitised and "[EMAIL]" in got[k].sanitised for k in range(6))
+    assert all({x.value.lower() for x in [*got[k].term, *got[k].gone]} == {"quuxington", "mail"} for k in range(6))
+    assert all(got[100 + k].sanitised == dict(rows)[100 + k] for k in range(12))
+
+
 def test_topk(spark):
     g = np.random.default_rng(2)
     x = g.normal(size=(300, 12)).round(2)
