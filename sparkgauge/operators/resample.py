@@ -1,4 +1,4 @@
-"""Resampled intervals (R9-R12) with the replicates as a vector.
+"""Resampled intervals (R9-R13) with the replicates as a vector.
 
 No row is copied once per replicate.  A group's multiplicities over all replicates are one vector of B bytes (``draw_vectors``), shared
 by all runs and arms; weighted sums and weighted running sums are vector sums over it.  Average precision is not linear in the
@@ -8,6 +8,8 @@ lies before it, and each cell goes through its own detections once.  What a cell
 the best precision; these meet per run and block of replicates.
 
 The cost is B bytes for each cell and group that meet, and one pass of B numbers over the distinct (run, score, group).
+
+Medians go the same way: totals of the cells tell in which cell a replicate's middle lies, and only those cells are gone through again.
 """
 
 from __future__ import annotations
@@ -213,6 +215,98 @@ def replicated_ap(dets: DataFrame, truths: DataFrame, by: Sequence[str], group:
     return named.join(ap.withColumnRenamed("run", "_run"), "_run").drop("_run")
 
 
+def _pair_sums(batches):
+    """cell, block, n, m: a task's weights of each cell and, without a cell, its weighted sums of x, y, xx, yy, xy and y - x."""
+    held: dict[int, np.ndarray] = {}
+    moments = None
+
+    def out():
+        rows = [(cell, block, n.tobytes(), None) for cell, total in held.items() for block, (n,) in _blocks(total)]
+        held.clear()
+        return rows
+
+    def batch_of(rows):
+        cells_, blocks, n, m = zip(*rows, strict=True)
+        return pa.record_batch([pa.array(cells_, pa.int64()), pa.array(blocks, pa.int32()), pa.array(n, pa.binary()), pa.array(m, pa.binary())], names=["cell", "block", "n", "m"])
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            rows = pa.Table.from_batches([batch.slice(at, 256)])
+            w = _weights(rows).astype(float)
+            cell, x, y, v = (rows.column(k).to_numpy() for k in ("cell", "x", "y", "v"))
+            part = np.stack([x, y, x * x, y * y, x * y, v]) @ w
+            moments = part if moments is None else moments + part
+            for c in np.unique(cell):
+                total = w[cell == c].sum(axis=0).astype(np.int64)
+                held[int(c)] = held[int(c)] + total if int(c) in held else total
+            if len(held) > 500:
+                yield batch_of(out())
+    if moments is not None:
+        rows = out()
+        yield batch_of(rows + [(None, block, b"", m.tobytes()) for block, (m,) in _blocks(moments)])
+
+
+def _pair_places(table: pa.Table) -> pa.Table:
+    """Of one block: rep, bias and ccc of every replicate, and for either middle place its cell and its place there."""
+    block = table.column("block")[0].as_py()
+    own = table.filter(pa.compute.is_valid(table.column("cell"))).sort_by([("cell", "ascending")])
+    cell = own.column("cell").to_numpy()
+    n = np.stack([np.frombuffer(x, np.int64) for x in own.column("n").to_pylist()])
+    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    ends = np.cumsum(np.add.reduceat(n, starts, axis=0), axis=0)
+    total = ends[-1]
+    parts = [np.frombuffer(x, np.float64).reshape(6, -1) for x in table.column("m").to_pylist() if x is not None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mx, my, xx, yy, xy, bias = np.sum(parts, axis=0) / total
+        ccc = 2 * (xy - mx * my) / (xx - mx * mx + yy - my * my + (mx - my) ** 2)
+    columns = {"rep": np.arange(len(total)) + block * BLOCK, "bias": bias, "ccc": ccc}
+    for name, place in (("lo", (total - 1) // 2), ("hi", total // 2)):
+        at = np.minimum((ends <= place).sum(axis=0), len(starts) - 1)
+        before = np.where(at > 0, ends[at - 1, np.arange(len(total))], 0)
+        columns |= {f"{name}_cell": cell[starts][at], f"{name}_place": place - before}
+    return pa.table(columns).filter(pa.array(total > 0))
+
+
+def _pair_values(points: pa.Table, wanted: pa.Table) -> pa.Table:
+    """rep, end, value: the value at each wanted place of one cell."""
+    points = points.sort_by([("v", "ascending")])
+    reps = wanted.column("rep").to_numpy()
+    values = np.zeros(0)
+    if points.num_rows and len(reps):
+        w, v = _weights(points), points.column("v").to_numpy()
+        running = {rep: np.cumsum(w[:, rep], dtype=np.int64) for rep in np.unique(reps)}
+        values = v[[np.searchsorted(running[rep], place, "right") for rep, place in zip(reps, wanted.column("place").to_numpy(), strict=True)]]
+    return pa.table([wanted.column("rep").slice(0, len(values)), wanted.column("end").slice(0, len(values)), pa.array(values, pa.float64())], names=["rep", "end", "value"])
+
+
+def replicated_pairs(pairs: DataFrame, group: str, vectors: DataFrame) -> DataFrame:
+    """rep, med, bias, ccc: median and mean of y - x and the concordance of x and y in every replicate.
+
+    ``pairs``: group, x, y; ``vectors``: group, w.  A group stands as often as a replicate draws it; pairs with a null, and groups without a
+    vector, take no part, and a replicate that draws no pair has no row.  A median between two values is their mean.
+    """
+    vectors = stored(vectors.select(F.col(group).cast("string").alias("grp"), "w"))
+    points = pairs.select(F.col(group).cast("string").alias("grp"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    points = points.withColumn("v", F.col("y") - F.col("x")).where(F.col("v").isNotNull()).join(vectors.select("grp"), "grp").withColumn("_g", F.lit(0))
+    points = stored(cells(points, "v", CELL_ROWS).withColumnRenamed("_cell", "cell").drop("_g"))
+    sums = points.join(vectors, "grp").select("cell", "x", "y", "v", "w").mapInArrow(_pair_sums, "cell bigint, block int, n binary, m binary")
+    places = stored(sums.groupBy("block").applyInArrow(_pair_places, "rep bigint, bias double, ccc double, lo_cell bigint, lo_place bigint, hi_cell bigint, hi_place bigint"))
+    ends = F.explode(F.array(*[F.struct(F.lit(k).alias("end"), F.col(f"{k}_cell").alias("cell"), F.col(f"{k}_place").alias("place")) for k in ("lo", "hi")]))
+    wanted = places.select("rep", ends.alias("e")).select("rep", "e.*")
+    # equal values are a cell of any size, and need no look at their weights
+    spans = stored(points.join(F.broadcast(wanted.select("cell").distinct()), "cell").groupBy("cell").agg(F.min("v").alias("value"), F.max("v").alias("_most")))
+    alike = F.col("value").eqNullSafe(F.col("_most"))
+    plain = wanted.join(spans.where(alike), "cell").select("rep", "end", "value")
+    mixed = spans.where(~alike).select("cell")
+    searched = points.join(F.broadcast(mixed), "cell").join(vectors, "grp").select("cell", "v", "w")
+    asked = wanted.join(F.broadcast(mixed), "cell").select(F.col("cell").alias("of_cell"), "rep", "end", "place")
+    found = searched.groupBy("cell").cogroup(asked.groupBy("of_cell")).applyInArrow(_pair_values, "rep bigint, end string, value double")
+    at = lambda k: F.max(F.when(F.col("end") == k, F.col("value")))
+    med = plain.unionByName(found).groupBy("rep").agg(at("lo").alias("_lo"), at("hi").alias("_hi"))
+    mean = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.col("_lo") * 0.5 + F.col("_hi") * 0.5)
+    return places.select("rep", "bias", "ccc").join(med, "rep").select("rep", mean.alias("med"), "bias", "ccc")
+
+
 def limits(reps: DataFrame, by: Sequence[str], value: str, alpha: float = 0.05) -> DataFrame:
     """by..., valid, lo, hi: percentile limits over the replicates of each key; undefined ones are dropped and the valid ones counted."""
     return reps.groupBy(*by).agg(F.count(value).alias("valid"), F.percentile(value, alpha / 2).alias("lo"), F.percentile(value, 1 - alpha / 2).alias("hi"))

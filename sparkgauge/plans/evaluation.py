@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from sparkgauge.functions.hashing import hash52_sql
 from sparkgauge.functions.numbers import rounded
 from sparkgauge.operators import ranking as r, resample
-from sparkgauge.operators.ordering import percentiles
 from sparkgauge.plans.registry import query, table
 from sparkgauge.session import stored
 
@@ -220,16 +219,9 @@ w as (select rep, g.user_id, count(*) as w from (select rep, {hash52_sql(11, 're
 t as (select rep, quantile_cont(y - x, 0.5) as med, avg(y - x) as bias, 2 * covar_pop(x, y) / (var_pop(x) + var_pop(y) + (avg(x) - avg(y)) * (avg(x) - avg(y))) as ccc from z group by 1)
 select count(*) as valid, count(distinct round(med, 6))::bigint as medians, round(quantile_cont(med, 0.025), 6) as med_lo, round(quantile_cont(med, 0.975), 6) as med_hi, round(quantile_cont(bias, 0.025), 6) as bias_lo, round(quantile_cont(bias, 0.975), 6) as bias_hi, round(quantile_cont(ccc, 0.025), 6) as ccc_lo, round(quantile_cont(ccc, 0.975), 6) as ccc_hi from t""")
 def r13(spark, d):
-    """Weights instead of repeated rows: a weighted median and weighted moments a replicate."""
+    """Weights instead of repeated rows: a weighted median and weighted moments a replicate, the replicates as vectors of bytes."""
     e = table(spark, d, "events")
-    o = e.groupBy("user_id").agg(rounded(F.percentile("value", 0.5), 4).alias("x"), rounded(F.avg("value"), 4).alias("y"))
-    z = stored(o.join(r.draws(e, "user_id", B, 11), "user_id").select("rep", "x", "y", "w", (F.col("y") - F.col("x")).alias("diff")))
-    of = lambda c: F.sum(F.col("w") * c) / F.sum("w")
-    x, y = F.col("x"), F.col("y")
-    m = z.groupBy("rep").agg(of(F.col("diff")).alias("bias"), of(x).alias("mx"), of(y).alias("my"), of(x * x).alias("xx"), of(y * y).alias("yy"), of(x * y).alias("xy"))
-    gap = F.col("mx") - F.col("my")
-    spread = F.col("xx") - F.col("mx") * F.col("mx") + F.col("yy") - F.col("my") * F.col("my") + gap * gap
-    m = m.withColumn("ccc", 2 * (F.col("xy") - F.col("mx") * F.col("my")) / spread)
-    t = percentiles(z, ["rep"], "diff", {"med": 0.5}, weight="w").join(m, "rep")
+    o = stored(e.groupBy("user_id").agg(rounded(F.percentile("value", 0.5), 4).alias("x"), rounded(F.avg("value"), 4).alias("y")))
+    t = resample.replicated_pairs(o, "user_id", resample.draw_vectors(o, "user_id", B, 11))
     ends = [R6(F.percentile(c, p)).alias(f"{c}_{s}") for c in ("med", "bias", "ccc") for s, p in (("lo", 0.025), ("hi", 0.975))]
     return t.agg(F.count(F.lit(1)).alias("valid"), F.count_distinct(R6("med")).alias("medians"), *ends)

@@ -122,3 +122,21 @@ def test_draws_in_windows_are_those_of_the_hash(spark, monkeypatch):
         assert "explode" not in drawn._jdf.queryExecution().toString().lower()
         assert {r.g: list(r.w) for r in drawn.collect()} == want
     assert resample.draw_vectors(groups.where("false"), "g", 12, 11).count() == 0
+
+
+def test_replicated_pairs_without_a_row_a_draw(spark, monkeypatch):
+    """Medians, means and concordance of the drawn pairs, from vectors of draws, over many cells and equal values."""
+    monkeypatch.setattr(resample, "CELL_ROWS", 8)
+    r = random.Random(4)
+    rows = [(i, round(r.gauss(10, 3), 4), round(r.gauss(11, 3), 4)) for i in range(120)] + [(i, 5.0, 6.5) for i in range(120, 180)] + [(180, None, None)]
+    pairs = spark.createDataFrame(rows, "user long, x double, y double")
+    vectors = resample.draw_vectors(pairs, "user", 500, 3).localCheckpoint()
+    drawn = {x.user: np.frombuffer(x.w, np.uint8) for x in vectors.collect()}
+    assert all(sum(w[k] for w in drawn.values()) == 181 for k in (0, 499))
+    got = {x.rep: x for x in resample.replicated_pairs(pairs, "user", vectors).collect()}
+    assert sorted(got) == list(range(500))
+    for rep in range(0, 500, 7):
+        x, y = (np.array([row[k] for row in rows[:-1] for _ in range(drawn[row[0]][rep])]) for k in (1, 2))
+        ccc = 2 * np.cov(x, y, bias=True)[0, 1] / (x.var() + y.var() + (x.mean() - y.mean()) ** 2)
+        assert np.allclose([got[rep].med, got[rep].bias, got[rep].ccc], [np.median(y - x), (y - x).mean(), ccc], rtol=1e-9, atol=1e-9)
+    assert resample.replicated_pairs(pairs.where("false"), "user", vectors).count() == 0
