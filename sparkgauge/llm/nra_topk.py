@@ -15,45 +15,60 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK = 8192
-QUERY_BLOCK = 256
-STEPS = 12  # lists are read a twelfth at a time
+QUERY_BLOCK = 1024
+BATCH = 128  # queries whose bounds are held at a time
+STEPS = 12  # lists are first read to a twelfth, then twice as deep each time
 
 
 def block_topk(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, vector, score) of the best k of one block for each query, ties to the smaller id; a vector is no answer to its own id."""
+    """(query, vector, score) of the best k of one block for each query, ties to the smaller id; a vector is no answer to its own id.
+
+    All queries read to the same depth at once, and those that may stop leave; positive weights read a list from its largest value, negative ones from
+    its smallest.
+    """
     n = len(x)
-    order = np.argsort(x, axis=0, kind="stable").T.copy()
-    values = np.take_along_axis(x.T, order, axis=1).astype(float)
-    place = np.empty(x.shape[::-1], np.int32)  # of a vector in the rising list of a dimension
-    np.put_along_axis(place, order, np.arange(n, dtype=np.int32)[None, :], axis=1)
-    step = -(-n // STEPS)
-    out = []
-    for query_id, own in zip(query_ids, q, strict=True):
-        used = np.flatnonzero(own)
-        others = ids != query_id
-        candidates = np.flatnonzero(others)
-        if len(used) and len(candidates) > k:
-            weight = own[used].astype(float)
-            falling = weight > 0
-            ends = [values[d][:: -1 if f else 1] for d, f in zip(used, falling, strict=True)]
-            lists = [order[d][:: -1 if f else 1] for d, f in zip(used, falling, strict=True)]
-            worst = weight * np.array([e[-1] for e in ends])
-            lower = np.full(n, worst.sum())  # rises as a dimension's worst is replaced by what is read
-            for depth in range(step, n + step, step):
-                for w, bad, rows, part in zip(weight, worst, lists, ends, strict=True):
-                    lower[rows[depth - step : depth]] += w * part[depth - step : depth] - bad
-                front = weight * np.array([e[min(depth, n) - 1] for e in ends])
-                bar = np.partition(lower[others], -k)[-k]  # the k-th lower bound
-                if front.sum() < bar or depth >= n:  # no unseen vector can qualify
-                    break
-            at = place[used]
-            unread = np.where(falling[:, None], at < n - depth, at >= depth)
-            upper = lower + (front - worst) @ unread.astype(float)
-            slack = 1e-9 * (np.abs(lower).max() + np.abs(front).sum() + 1)
-            candidates = np.flatnonzero(others & (upper >= bar - slack))
-        score = x[candidates] @ own  # integers: final scores of the candidates that are left
+    out: list[tuple[int, int, int]] = []
+
+    def answer(query: int, candidates: np.ndarray) -> None:
+        score = x[candidates] @ q[query]  # integers: final scores of the candidates that are left
         best = np.lexsort((ids[candidates], -score))[:k]
-        out += [(int(query_id), int(ids[candidates[b]]), int(score[b])) for b in best]
+        out.extend((int(query_ids[query]), int(ids[candidates[b]]), int(score[b])) for b in best)
+
+    if n <= k + 1:
+        for query in range(len(q)):
+            answer(query, np.flatnonzero(ids != query_ids[query]))
+        return out
+    order = np.argsort(x, axis=0, kind="stable")
+    place = np.empty(x.shape, np.int32)  # of a vector in the rising list of a dimension
+    np.put_along_axis(place, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
+    known = x.astype(float)
+    rising = np.take_along_axis(known, order, axis=0)
+    positive, negative = np.maximum(q, 0).astype(float), np.minimum(q, 0).astype(float)
+    parts = [np.arange(at, min(at + BATCH, len(q))) for at in range(0, len(q), BATCH)]
+    depth = -(-n // STEPS)
+    while parts:
+        top, bottom = place >= n - depth, place < depth  # what is read of the lists from either end
+        ends = rising[n - depth], rising[depth - 1]
+        worst = [np.where(read, known, end).T for read, end in ((top, rising[0]), (bottom, rising[-1]))]
+        best = [np.where(read, known, end).T for read, end in zip((top, bottom), ends, strict=True)]
+        left = []
+        for part in parts:
+            own = positive[part], negative[part]
+            lower = own[0] @ worst[0] + own[1] @ worst[1]
+            front = own[0] @ ends[0] + own[1] @ ends[1]  # what an unseen vector can score at most
+            slack = 1e-9 * (np.abs(lower).max(axis=1) + own[0] @ np.abs(ends[0]) - own[1] @ np.abs(ends[1]) + 1)
+            itself = ids[None, :] == query_ids[part][:, None]
+            lower[itself] = -np.inf
+            bar = np.partition(lower, n - k, axis=1)[:, n - k]  # the k-th lower bound
+            stops = (front < bar - slack) | (depth >= n)
+            if stops.any():
+                upper = own[0][stops] @ best[0] + own[1][stops] @ best[1]
+                may = (upper >= (bar - slack)[stops, None]) & ~itself[stops]
+                for query, row in zip(part[stops], may, strict=True):
+                    answer(query, np.flatnonzero(row))
+            if not stops.all():
+                left.append(part[~stops])
+        parts, depth = left, min(2 * depth, n)
     return out
 
 

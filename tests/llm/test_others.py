@@ -157,3 +157,19 @@ def test_pipeline_stages(spark, tmp_path):
     got = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     want = {k: t for k, t, *_ in keep} | {20: "", 24: prose(24, 30)}
     assert got == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in want.items()}
+
+
+def test_nra_reads_for_many_queries_at_once(monkeypatch):
+    """Bounds are found once a depth and batch, not once a query; answers are those of all scores."""
+    import numpy as np
+
+    monkeypatch.setattr(nra_topk, "BATCH", 16)
+    r = np.random.default_rng(2)
+    x = r.integers(-9, 9, (400, 6))
+    ids = r.permutation(4000)[:400]
+    query_ids, q = np.concatenate([ids[:20], np.arange(5000, 5020)]), np.concatenate([x[:20], r.integers(-9, 9, (20, 6))])
+    calls, partition = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda *a, **k: calls.append(1) or partition(*a, **k))
+    got = sorted(nra_topk.block_topk(ids, x, query_ids, q, 5))
+    want = [(int(i), v, -s) for i, own in zip(query_ids, q, strict=True) for s, v in sorted((-int(own @ y), int(v)) for v, y in zip(ids, x, strict=True) if v != i)[:5]]
+    assert got == sorted(want) and len(calls) <= 5 * 3
