@@ -18,21 +18,22 @@ def greedy_match(items: DataFrame, detections: str, truths: str, overlap, thresh
     An item without detections keeps its truths: n_gt counts them.
     """
     order = F.array_sort(detections, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(F.signum(a["id"] - b["id"]).cast("int")))
-    items = items.withColumn("_d", order)
-    numbered = F.transform(F.col(truths), lambda t, i: F.struct(i.alias("i"), t.alias("t")))
+    # each overlap is found once, for all thresholds; what lies below the lowest can be no match
+    lowest = F.lit(float(min(thresholds, default=0.0)))
+    near = lambda d: F.filter(F.transform(F.col(truths), lambda t, i: F.struct(overlap(d, t).alias("o"), (-i).alias("i"))), lambda x: x["o"] >= lowest)
+    rows = items.select("*", F.transform(order, near).alias("_near"), F.size(truths).cast("bigint").alias("n_gt"))
     zero = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<int>").alias("tp"))
 
     def at(limit: Column) -> Column:
-        def step(s, det):
-            free = F.filter(numbered, lambda t: ~F.array_contains(s["used"], t["i"]) & (overlap(det, t["t"]) >= limit))
-            best = F.array_max(F.transform(free, lambda t: F.struct(overlap(det, t["t"]).alias("o"), (-t["i"]).alias("i"))))
+        def step(s, found):
+            best = F.array_max(F.filter(found, lambda x: (x["o"] >= limit) & ~F.array_contains(s["used"], x["i"])))
             hit = best.isNotNull()
-            return F.struct(F.when(hit, F.concat(s["used"], F.array(-best["i"]))).otherwise(s["used"]).alias("used"), F.concat(s["tp"], F.array(F.when(hit, 1).otherwise(0))).alias("tp"))
+            return F.struct(F.when(hit, F.concat(s["used"], F.array(best["i"]))).otherwise(s["used"]).alias("used"), F.concat(s["tp"], F.array(F.when(hit, 1).otherwise(0))).alias("tp"))
 
-        return F.aggregate(F.col("_d"), zero, step, lambda s: s["tp"])
+        return F.struct(limit.alias("threshold"), F.aggregate("_near", zero, step, lambda s: s["tp"]).alias("tp"))
 
-    rows = items.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
-    return rows.withColumns({"tp": at(F.col("threshold")), "n_gt": F.size(truths).cast("bigint")}).drop("_d")
+    limits = F.array(*[F.lit(float(t)) for t in thresholds])
+    return rows.select("*", F.inline(F.transform(limits, at))).select(*items.columns, "threshold", "tp", "n_gt")
 
 
 def average_precision(dets: DataFrame, truths: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -131,3 +131,16 @@ def test_near_sets_shuffle_no_entries(spark):
     out = joins.near_sets(rows, F.col("e"), 0.8)
     assert {(x.a, x.b) for x in out.collect()} == want and (0, 1) in want and (4, 5) in want
     assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_greedy_match_finds_each_overlap_once(spark):
+    """One look at a pair for all thresholds, and the best free truth of each threshold."""
+    calls = []
+
+    def overlap(d, t):
+        calls.append(1)
+        return 1 / (1 + F.abs(d["q"] - t))
+
+    df = spark.createDataFrame([(1, [(0.9, 1, 1.0), (0.8, 2, 1.2), (0.7, 3, 5.0)], [1.1, 1.0, 9.0])], "item long, dets array<struct<score:double,id:int,q:double>>, truths array<double>")
+    got = {r.threshold: (r.tp, r.n_gt) for r in ranking.greedy_match(df, "dets", "truths", overlap, [0.5, 0.95, 0.1]).collect()}
+    assert got == {0.5: ([1, 1, 0], 3), 0.95: ([1, 0, 0], 3), 0.1: ([1, 1, 1], 3)} and len(calls) == 1
