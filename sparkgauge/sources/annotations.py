@@ -15,11 +15,18 @@ def _first(value: Column, paths, kind: str) -> Column:
 
 def _polygons(entry: Column) -> Column:
     """array<array<double>>: nested lists, one flat list, or the corners of a box; null without any."""
-    box = F.try_variant_get(entry, "$.bbox", "array<double>")
-    x, y, w, h = (F.get(box, F.lit(i)) for i in range(4))
-    corners = F.array(F.array(x, y, x + w, y, x + w, y + h, x, y + h))
+    once = lambda c, then: F.get(F.transform(F.array(c), then), F.lit(0))  # noqa: E731  # reads the entry once, however often the value is used
+
+    def corners(box: Column) -> Column:
+        x, y, w, h = (F.get(box, F.lit(i)) for i in range(4))
+        return F.when(F.size(box) == 4, F.array(F.array(x, y, x + w, y, x + w, y + h, x, y + h)))
+
     flat = F.coalesce(F.try_variant_get(entry, "$.polygon", "array<double>"), F.try_variant_get(entry, "$.segmentation", "array<double>"))
-    return F.coalesce(F.try_variant_get(entry, "$.segmentation", "array<array<double>>"), F.when(flat.isNotNull(), F.array(flat)), F.when(F.size(box) == 4, corners))
+    return F.coalesce(
+        F.try_variant_get(entry, "$.segmentation", "array<array<double>>"),
+        once(flat, lambda f: F.when(f.isNotNull(), F.array(f))),
+        once(F.try_variant_get(entry, "$.bbox", "array<double>"), corners),
+    )
 
 
 def parsed(docs: DataFrame, id_col: str, json_col: str) -> DataFrame:

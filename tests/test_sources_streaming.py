@@ -53,3 +53,13 @@ def test_stream_equals_batch_also_when_replayed(spark, tmp_path):
         if os.path.exists(f"{out}/state/commits/{name}"):
             os.remove(f"{out}/state/commits/{name}")
     assert stream() == batch(200)
+
+
+def test_a_box_is_read_once(spark):
+    """An entry's box is asked for once, not for each of its corners' numbers."""
+    from sparkgauge.sources.annotations import annotations
+
+    docs = spark.createDataFrame([(1, '{"annotations": [{"bbox": [1, 2, 3, 4]}, {"bbox": [1, 2]}, {"polygon": [1, 2, 3]}, {"segmentation": [[5, 6], [7]]}, {}]}')], "id long, json string")
+    out = annotations(docs, "id", "json")
+    assert [r.polygon for r in out.orderBy("pos", "part").collect()] == [[1, 2, 4, 2, 4, 6, 1, 6], None, [1, 2, 3], [5, 6], [7], None]
+    assert out._jdf.queryExecution().analyzed().toString().count("$.bbox") == 1
