@@ -50,7 +50,8 @@ def images(docs: DataFrame, id_col: str, json_col: str) -> DataFrame:
 def annotations(docs: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """doc, pos, part, image_id, category, polygon: one row a polygon, numbered in its annotation; one with a null polygon where an
     annotation has none that can be read.  Texts without annotations give no rows."""
-    rows = parsed(docs, id_col, json_col).select("doc", F.posexplode("annotations").alias("pos", "a"))
+    # outer, as for an inner one the optimizer adds a filter below that parses each text again
+    rows = parsed(docs, id_col, json_col).select("doc", F.posexplode_outer("annotations").alias("pos", "a")).where("pos is not null")
     rows = rows.select("doc", "pos", "a", F.posexplode_outer(_polygons(F.col("a"))).alias("part", "polygon"))
     category = _first(F.col("a"), CATEGORIES, "string")
     return rows.select("doc", "pos", F.coalesce("part", F.lit(0)).alias("part"), F.try_variant_get("a", "$.image_id", "string").alias("image_id"), category.alias("category"), "polygon")

@@ -63,3 +63,11 @@ def test_a_box_is_read_once(spark):
     out = annotations(docs, "id", "json")
     assert [r.polygon for r in out.orderBy("pos", "part").collect()] == [[1, 2, 4, 2, 4, 6, 1, 6], None, [1, 2, 3], [5, 6], [7], None]
     assert out._jdf.queryExecution().analyzed().toString().count("$.bbox") == 1
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("$.annotations") == 1
+
+
+def test_texts_without_annotations_give_no_rows(spark):
+    from sparkgauge.sources.annotations import annotations
+
+    docs = spark.createDataFrame([(1, '{"annotations": []}'), (2, "{"), (3, None), (4, "{}"), (5, '{"annotations": [null]}')], "id long, json string")
+    assert [(r.doc, r.pos, r.polygon) for r in annotations(docs, "id", "json").collect()] == [(5, 0, None)]
