@@ -9,19 +9,27 @@ what is left is verified on the whole texts.
 The result is connectivity, so a group of copies need not be multiplied out: documents with equal sets are
 one class; then the documents that share a minimum hash are compared with one hub of theirs and joined where they
 link.  The product then leaves out entries inside a component, which cannot change the result.
+
+A column that more than ``HOT`` documents have among their first ones takes part by its place in them only: where it is the first
+column that two documents share, both go on for at least as long as their overlap must be.  ``reach`` is the largest size of the
+other set that this allows.  Before the product, each document of a hot column is compared with the document of its size band, and
+of the next smaller band, in which the column stands foremost, so that documents that share a passage and link are one component.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkgauge.llm.textcodes import Words, chunks, mix, shingle_hashes, utf8
 from sparkgauge.operators.components import components
 from sparkgauge.session import arrow_rows, cut, stored
 
 HUB_ROUNDS, HUBS = 3, 6
+HOT = 32  # columns that more documents have among their first ones are joined by reach
 FREQUENT_SHARE = 5e-4  # columns of a larger share of the documents are ordered last
 NO_ID = -(2**63)
 PAIR_ROWS = 128  # pairs of whole texts that a worker holds at a time
@@ -109,7 +117,11 @@ def frequent_columns(rows: DataFrame, n: int, docs: int) -> tuple[np.ndarray, np
 
 
 def incidence(rows: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """h, id, n_shingles: the entries of each document's first columns.  Equal sets of one chunk are entered once."""
+    """h, id, n_shingles, reach: the entries of each document's first columns.  Equal sets of one chunk are entered once.
+
+    ``reach`` is the size of the largest set that can link where nothing before this entry is shared: the n - k entries from place k on
+    must be at least percent / (100 + percent) of both sizes together.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
@@ -135,10 +147,41 @@ def incidence(rows: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray,
                 order = np.lexsort((h, place, doc))
                 prefix = size - (percent * size + 99) // 100 + 1
                 first = (np.arange(len(h)) - start[doc] < prefix[doc]) & keep[doc]
+                place = (np.arange(len(h)) - start[doc])[first]
                 h, doc = h[order][first], doc[first]
-                yield pa.RecordBatch.from_arrays([_long(h), pa.array(own_ids[doc]), pa.array(size[doc].astype(np.int32))], names=["h", "id", "n_shingles"])
+                reach = (size[doc] - place) * (100 + percent) // percent - size[doc]
+                yield pa.RecordBatch.from_arrays(
+                    [_long(h), pa.array(own_ids[doc]), pa.array(size[doc].astype(np.int32)), pa.array(reach.astype(np.int32))], names=["h", "id", "n_shingles", "reach"]
+                )
+
+    return rows.mapInArrow(run, "h bigint, id bigint, n_shingles int, reach int")
+
+
+def _reached(a: str, b: str) -> Column:
+    return (F.col(f"n_shingles{a}") <= F.col(f"reach{b}")) & (F.col(f"n_shingles{b}") <= F.col(f"reach{a}"))
 
-    return rows.mapInArrow(run, "h bigint, id bigint, n_shingles int")
+
+def _near(a: str, b: str, percent: int) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+def met_in_columns(entries: DataFrame, percent: int) -> DataFrame:
+    """The pairs of entries of one column that lie in different components and whose sizes, or in a hot column whose reach, let them link."""
+    side = lambda x: entries.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n_shingles", "component", "reach", "hot", "n_hot")])
+    apart = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & _near("n_shingles_a", "n_shingles_b", percent)
+    return side("a").join(side("b"), "h").where(apart & (~F.col("hot_a") | _reached("_a", "_b")))
+
+
+def foremost_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each entry of a hot column with the foremost entry of its size band and of the next smaller one: two rows an entry at most."""
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / percent)).cast("int") if percent < 100 else F.col("n_shingles")
+    hot = entries.where("hot").withColumn("band", band)
+    order = F.struct((F.col("reach") / F.col("n_shingles")).alias("part"), "id", "n_shingles", "reach", "component")
+    hubs = hot.groupBy("h", "band").agg(F.max(order).alias("hub"))
+    hubs = hubs.select("h", "band", *[F.col(f"hub.{c}").alias(f"{c}_hub") for c in ("id", "n_shingles", "reach", "component")])
+    met = hot.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))).join(hubs, ["h", "band"])
+    met = met.where((F.col("component") != F.col("component_hub")) & _reached("", "_hub"))
+    return met.select(F.least("id", "id_hub").alias("a"), F.greatest("id", "id_hub").alias("b")).distinct()
 
 
 def linked(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
@@ -193,21 +236,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
     member = full.join(classes, ["s1", "s2", "n_shingles"]).select("id", "rep", "n_shingles", "least")
     edges = member.where(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     reps = member.where(F.col("id") == F.col("rep")).select("id", "n_shingles", "least")
-    near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
     # hubs: in each group of one minimum hash the first document by a hash order, which the slots of a round share
     slots = F.array(*[F.struct(F.lit(k).alias("slot"), F.col("least")[k].alias("value")) for k in range(HUB_ROUNDS * HUBS)])
     keyed = reps.select("id", "n_shingles", F.explode(slots).alias("key"))
     order = F.xxhash64("id", F.call_function("div", F.col("key.slot"), F.lit(HUBS)))
     hubs = keyed.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("hub"), F.col("n_shingles").alias("size"))).alias("h"))
-    met = keyed.join(hubs, "key").where((F.col("id") != F.col("h.hub")) & near(F.col("n_shingles"), F.col("h.size")))
+    met = keyed.join(hubs, "key").where((F.col("id") != F.col("h.hub")) & _near("n_shingles", "h.size", percent))
     met = met.select(F.least("id", "h.hub").alias("a"), F.greatest("id", "h.hub").alias("b")).distinct()
     # only pairs whose minimum hashes often agree are worth their texts here; the product below finds the others
     own = lambda c: reps.select(F.col("id").alias(c), F.col("least").alias(f"least_{c}"))
     agree = F.size(F.filter(F.zip_with("least_a", "least_b", lambda x, y: x == y), lambda x: x))
-    met = met.join(own("a"), "a").join(own("b"), "b").where(100 * agree >= (percent - 30) * HUB_ROUNDS * HUBS).select("a", "b")
+    promising = lambda pairs: stored(pairs.join(own("a"), "a").join(own("b"), "b").where(100 * agree >= (percent - 30) * HUB_ROUNDS * HUBS).select("a", "b"))
     spark = docs.sparkSession
-    met = stored(met)
+    met = promising(met)
     with arrow_rows(spark, PAIR_ROWS):
         links = cut(linked(met, rows, n, percent))
     labels = components(links)
@@ -215,17 +257,21 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
     frequent = frequent_columns(rows, n, total)
     entries = incidence(rows, n, percent, frequent).repartition("h")
     column = Window.partitionBy("h")
-    entries = entries.withColumns({"lo": F.min("id").over(column), "hi": F.max("id").over(column)}).where("lo < hi").select("h", "id", "n_shingles")
-    entries = cut(_with_component(entries.join(reps.select("id"), "id", "left_semi"), labels))
-    left = entries.select("h", *[F.col(c).alias(f"{c}_a") for c in ("id", "n_shingles", "component")])
-    right = entries.select("h", *[F.col(c).alias(f"{c}_b") for c in ("id", "n_shingles", "component")])
-    product = left.join(right, "h").where(
-        (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & near(F.col("n_shingles_a"), F.col("n_shingles_b"))
-    )
-    product = product.groupBy("id_a", "id_b", "n_shingles_a", "n_shingles_b").agg(F.count(F.lit(1)).alias("overlap"))
-    # of a document's entries after its first columns at most ceil(t n) - 1 can be shared
+    entries = entries.withColumns({"lo": F.min("id").over(column), "hi": F.max("id").over(column), "docs": F.count(F.lit(1)).over(column)}).where("lo < hi")
+    entries = entries.select("h", "id", "n_shingles", "reach", (F.col("docs") > HOT).alias("hot")).join(reps.select("id"), "id", "left_semi")
+    entries = entries.withColumn("n_hot", F.count(F.when(F.col("hot"), 1)).over(Window.partitionBy("id")).cast("int"))
+    entries = cut(_with_component(entries, labels))
+    met = promising(foremost_pairs(entries, percent))
+    with arrow_rows(spark, PAIR_ROWS):
+        links = cut(links.union(linked(met, rows, n, percent)))
+    labels = components(links)
+    entries = _with_component(entries.drop("component"), labels)
+    several = entries.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
+    entries = cut(entries.join(several, "h", "left_semi"))
+    product = met_in_columns(entries, percent).groupBy("id_a", "id_b", "n_shingles_a", "n_shingles_b", "n_hot_a", "n_hot_b").agg(F.count(F.when(~F.col("hot_a"), 1)).alias("overlap"))
+    # of a document's entries after its first columns at most ceil(t n) - 1 can be shared, and hot columns are not counted
     need = F.ceil((F.col("n_shingles_a") + F.col("n_shingles_b")) * F.lit(percent) / F.lit(100.0 + percent) - 1e-9)
-    rest = F.ceil(F.greatest("n_shingles_a", "n_shingles_b") * F.lit(percent) / 100.0 - 1e-9) - 1
+    rest = F.ceil(F.greatest("n_shingles_a", "n_shingles_b") * F.lit(percent) / 100.0 - 1e-9) - 1 + F.least("n_hot_a", "n_hot_b")
     pairs = stored(product.where(F.col("overlap") + rest >= need).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
     with arrow_rows(spark, PAIR_ROWS):
         links = links.union(cut(linked(pairs, rows, n, percent))).union(edges)

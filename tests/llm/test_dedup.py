@@ -106,6 +106,34 @@ def test_jaccard_odd_rows(spark):
     assert sorted(r.doc_id for r in ngram_join.keep_first(frame(spark, [(1, "a b"), (2, "a b"), (3, "")])).collect()) == [1, 3]
 
 
+def test_jaccard_common_passage(spark, monkeypatch):
+    """Documents that share a passage and differ in 5 to 45 of their words, so that some link and many hardly do not."""
+    monkeypatch.setattr(ngram_join, "HOT", 5)
+    r = random.Random(6)
+    passage = " ".join(f"p{k}" for k in range(104))
+    rows = [(k, f"{passage} " + " ".join(f"w{k}x{j}" for j in range(r.randrange(5, 46)))) for k in range(60)]
+    rows += [(k, " ".join(r.choice(WORDS) for _ in range(40))) for k in range(60, 80)]
+    sets = {i: shingles(t) for i, t in rows}
+    want = {i: i for i in sets}
+    for _ in sets:
+        want = {a: min(want[b] for b in sets if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])) for a in sets}
+    assert 10 < len(set(want.values())) < 70
+    got = {x.doc_id: x.component_id for x in ngram_join.jaccard_components(frame(spark, rows)).collect()}
+    assert got == want
+
+
+def test_hot_columns_meet_by_reach(spark):
+    """A column at place 20 of sets of 100: the 80 entries from there on are too few for any two of them."""
+    schema = "h long, id long, n_shingles int, reach int, hot boolean, n_hot int, component long"
+    rows = [(1, k, 100, 80 * 175 // 75 - 100, True, 1, k) for k in range(200)]
+    assert ngram_join.met_in_columns(spark.createDataFrame(rows, schema), 75).count() == 0
+    rows[0] = (1, 0, 100, 95 * 175 // 75 - 100, True, 1, 0)
+    rows[7] = (1, 7, 90, 83 * 175 // 75 - 90, True, 1, 7)
+    entries = spark.createDataFrame(rows, schema)
+    assert [(x.id_a, x.id_b) for x in ngram_join.met_in_columns(entries, 75).collect()] == [(0, 7)]
+    assert [(x.a, x.b) for x in ngram_join.foremost_pairs(entries, 75).collect()] == [(0, 7)]
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
