@@ -29,6 +29,8 @@ RANK_STEP = 512
 WORDS_KEPT = 1_000_000
 # White space and what follows it: the tokenizer's split before its merges never joins a character and white space behind it.
 UNITS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+SIDE_BY_SIDE = 1000  # units that are encoded as one text
+LEADS = re.compile(f"[{WHITE}]+[^{WHITE}]")
 
 
 def pack(ids: np.ndarray) -> tuple[list[bytes], list[bytes], list[bytes]]:
@@ -81,7 +83,33 @@ def _tokenizer(path: str):
 
     made = Tokenizer.from_file(path)
     special = [t.content for t in made.get_added_tokens_decoder().values()]
-    return made, special, Memory(WORDS_KEPT)
+    vocabulary = made.get_vocab()
+    sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    for token, i in vocabulary.items():
+        sizes[i] = len(token)  # byte-level tokens have a character for each byte
+    return made, special, Memory(WORDS_KEPT), sizes
+
+
+def _unit_ids(units: list[str], path: str) -> list[bytes]:
+    """The ids of each unit, as little-endian 32-bit integers.
+
+    Units that begin with white space and go on are encoded side by side, as in a text; the tokens' bytes tell where each unit ends.
+    """
+    made, _, _, sizes = _tokenizer(path)
+    encode = lambda texts: [np.array(e.ids, "<u4") for e in made.encode_batch_fast(texts, add_special_tokens=False)]
+    out: dict[str, bytes] = {}
+    led = [u for u in units if LEADS.match(u)]
+    groups = [led[k : k + SIDE_BY_SIDE] for k in range(0, len(led), SIDE_BY_SIDE)]
+    for group, ids in zip(groups, encode(["".join(g) for g in groups]), strict=True):
+        ends = np.cumsum(sizes[ids])
+        want = np.cumsum([len(u.encode()) for u in group])
+        cuts = np.searchsorted(ends, want)
+        if len(ends) and ends[-1] == want[-1] and (ends[cuts] == want).all():
+            raw, at = ids.tobytes(), (4 * (cuts + 1)).tolist()
+            out.update(zip(group, [raw[a:b] for a, b in zip([0, *at], at, strict=False)], strict=True))
+    rest = [u for u in units if u not in out]
+    out.update(zip(rest, [ids.tobytes() for ids in encode(rest)], strict=True))
+    return [out[u] for u in units]
 
 
 def token_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
@@ -90,14 +118,14 @@ def token_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
     A text's ids are its units' ids, as the tokenizer never joins two of them.  A text that holds the string of a special token is
     encoded as a whole.
     """
-    made, special, memory = _tokenizer(path)
+    made, special, memory, _ = _tokenizer(path)
     units = [None if any(s in t for s in special) else UNITS.findall(t) for t in (t or "" for t in texts)]
     known = memory.young
-    new = set().union(*filter(None, units)) - known.keys()
+    every = set().union(*filter(None, units))
+    new = every.difference(known)  # by the few units of these texts, not by all that are known
     if new:
-        encode = lambda words: [np.array(e.ids, "<u4").tobytes() for e in made.encode_batch_fast(words, add_special_tokens=False)]
         # where the memory turns over, all that is looked up next must be young
-        memory.learn(set().union(*filter(None, units)) if len(known) + len(new) > memory.kept // 2 else new, encode)
+        memory.learn(every if len(known) + len(new) > memory.kept // 2 else new, lambda words: _unit_ids(words, path))
         known = memory.young
     return [
         np.array(made.encode(text, add_special_tokens=False).ids, "<u4") if own is None else np.frombuffer(b"".join(map(known.__getitem__, own)), "<u4")

@@ -31,3 +31,23 @@ def test_start_is_the_place_in_the_files(spark, tmp_path):
     assert [x[2] for x in got] == sorted([x[0] for x in rows], key=lambda i: (i is not None, i or 0))
     files = sorted((x.f, x.place, x.n_tokens) for x in spark.read.parquet(target).selectExpr("_metadata.file_name as f", "place", "n_tokens").collect())
     assert [x[2] for x in files] == [x[1] for x in got] and len({x[0] for x in files}) > 3
+
+
+def test_new_units_are_encoded_side_by_side(monkeypatch):
+    """As many calls' worth of texts as there are blocks of units, not as there are units; and the ids of each unit alone."""
+    r = random.Random(4)
+    units = sorted({" " * r.randrange(0, 3) + "".join(r.choice("abcdé漢.'\x00") for _ in range(r.randrange(1, 9))) for _ in range(3000)} | {"  ", "\n", "\n x"})
+    made, *more = dac_tokens._tokenizer(PATH)
+    alone = [made.encode(u, add_special_tokens=False).ids for u in units]
+    asked = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return made.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(dac_tokens, "_tokenizer", lambda path: (Counted(), *more))
+    got = dac_tokens._unit_ids(units, PATH)
+    assert [list(memoryview(x).cast("I")) for x in got] == alone
+    led = sum(u[0] in " \n" and u.strip() != "" for u in units)
+    assert len(asked) == len(units) - led + -(-led // dac_tokens.SIDE_BY_SIDE)
