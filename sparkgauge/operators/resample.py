@@ -15,16 +15,17 @@ Medians go the same way: totals of the cells tell in which cell a replicate's mi
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sparkgauge.functions.hashing import hash52
 from sparkgauge.operators.ordering import cells, rank_rows
-from sparkgauge.session import stored
+from sparkgauge.session import arrow_rows, stored
 
 REPLICATES = 5000
 BLOCK = 250  # replicates that meet in one task
@@ -32,6 +33,8 @@ CELL_ROWS = 4096  # rows of detections that a task ranks at once
 PRIME = 2147483647
 DRAWN_BYTES = 32 << 20  # a task's counts of draws
 DRAWS = 1 << 16  # drawn at once
+HELD_SUMS = 2_500_000  # sums that a task holds of either kind
+ROUND_BYTES = 1 << 30  # weights that meet cells in one round of replicates, unless a round has one block
 PART = 1024  # equal rows that draw their Poisson count together
 
 
@@ -69,7 +72,8 @@ def draw_vectors(groups: DataFrame, group: str, replicates: int, seed) -> DataFr
 
     parts = windows.mapInArrow(counted, "no bigint, at int, w binary").groupBy("no").agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("p"))
     drawn = parts.select("no", F.aggregate("p", F.lit(b""), lambda s, x: F.concat(s, x["w"])).alias("w"))
-    return numbered.join(drawn, F.col("_no") == F.col("no")).select(F.col("_key").alias(group), "w")
+    # by merge: the planner takes what Python draws for a small table and would broadcast it
+    return numbered.join(drawn.hint("merge"), F.col("_no") == F.col("no")).select(F.col("_key").alias(group), "w")
 
 
 def unit_vectors(groups: DataFrame, group: str, replicates: int = 1) -> DataFrame:
@@ -115,7 +119,7 @@ def _totals(points: DataFrame, vectors: DataFrame, by: Sequence[str]) -> DataFra
                     a, b = held[keys[i]]
                     a += w[i] * t[i]
                     b += w[i] * n[i]
-                if len(held) > 500:
+                if len(held) * w.shape[1] > HELD_SUMS:
                     yield from out()
         if held:
             yield from out()
@@ -130,6 +134,18 @@ def _totals(points: DataFrame, vectors: DataFrame, by: Sequence[str]) -> DataFra
     return parts.groupBy(*by, "block").applyInArrow(added, schema)
 
 
+def _joined_cells(points: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``points`` with neighbouring small cells of a key as one, of ``CELL_ROWS`` rows at most.
+
+    Larger ones, of equal values, stay alone; ``_parts`` says in how many parts of so many rows to take them.
+    """
+    half = max(CELL_ROWS // 2, 1)
+    sizes = points.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = sizes.select(*by, "cell", (F.call_function("div", before, F.lit(half)) * 2 + F.when(F.col("_n") > half, 1).otherwise(0)).alias("_at"), F.ceil(F.col("_n") / CELL_ROWS).alias("_parts"))
+    return points.join(at, [*by, "cell"]).drop("cell").withColumnRenamed("_at", "cell")
+
+
 def _before(table: pa.Table) -> pa.Table:
     """What lies before each cell of one run and block of replicates."""
     order = np.argsort(table.column("cell").to_numpy())
@@ -199,10 +215,20 @@ def replicated_ap(dets: DataFrame, truths: DataFrame, by: Sequence[str], group:
     grp = F.col(group).cast("string").alias("grp")
     named = truths.select(*by).distinct().withColumn("_run", run)
     kept = truths.select(run, grp, F.col("n_gt").cast("bigint").alias("t")).groupBy("run", "grp").agg(F.sum("t").alias("t")).withColumn("n", F.lit(0).cast("bigint"))
-    total = stored(_totals(kept, vectors, ["run"]).select("run", "block", F.col("t").alias("truths")))
+    kept = stored(kept)
     points = dets.where(F.col("score").isNotNull()).groupBy(run, grp, (-F.col("score").cast("double")).alias("v")).agg(F.sum("tp").cast("bigint").alias("t"), F.count(F.lit(1)).alias("n"))
     points = points.join(vectors.select("grp"), "grp").withColumn("_g", F.col("run"))
-    points = stored(cells(points, "v", CELL_ROWS).withColumnRenamed("_cell", "cell").drop("_g"))
+    points = stored(_joined_cells(cells(points, "v", CELL_ROWS).withColumnRenamed("_cell", "cell").drop("_g"), ["run"]).drop("_parts"))
+    drawn = vectors.agg(F.max(F.octet_length("w"))).first()[0] or 0
+    blocks = -(-drawn // BLOCK)
+    per = max(1, blocks // max(1, -(-points.count() * drawn // ROUND_BYTES))) * BLOCK
+    rounds = [_ap_round(points, kept, vectors.select("grp", F.expr(f"substring(w, {at + 1}, {per})").alias("w")), at) for at in range(0, max(drawn, 1), per)]
+    return named.join(reduce(DataFrame.unionByName, rounds).withColumnRenamed("run", "_run"), "_run").drop("_run")
+
+
+def _ap_round(points: DataFrame, kept: DataFrame, vectors: DataFrame, first: int) -> DataFrame:
+    """run, rep, ap of the replicates from ``first`` that ``vectors`` hold.  Stored, so that what one round shuffles is deleted before the next."""
+    total = stored(_totals(kept, vectors, ["run"]).select("run", "block", F.col("t").alias("truths")))
     sums = _totals(points.groupBy("run", "cell", "grp").agg(F.sum("t").alias("t"), F.sum("n").alias("n")), vectors, ["run", "cell"])
     before = sums.groupBy("run", "block").applyInArrow(_before, "run string, cell bigint, block int, t binary, n binary").join(total, ["run", "block"])
     needed = points.select("run", "cell", "grp").distinct().join(vectors, "grp")
@@ -212,7 +238,7 @@ def replicated_ap(dets: DataFrame, truths: DataFrame, by: Sequence[str], group:
     ).select(*[F.col(k).alias(f"of_{k}") for k in ("run", "cell", "grp", "w", "block", "t", "n", "truths")])
     best = points.groupBy("run", "cell").cogroup(sides.groupBy("of_run", "of_cell")).applyInArrow(_best, "run string, block int, k int, p binary")
     ap = best.groupBy("run", "block").cogroup(total.select(*[F.col(k).alias(f"of_{k}") for k in ("run", "block", "truths")]).groupBy("of_run", "of_block")).applyInArrow(_precision, "run string, rep int, ap double")
-    return named.join(ap.withColumnRenamed("run", "_run"), "_run").drop("_run")
+    return stored(ap.withColumn("rep", F.col("rep") + first))
 
 
 def _pair_sums(batches):
@@ -239,7 +265,7 @@ def _pair_sums(batches):
             for c in np.unique(cell):
                 total = w[cell == c].sum(axis=0).astype(np.int64)
                 held[int(c)] = held[int(c)] + total if int(c) in held else total
-            if len(held) > 500:
+            if len(held) * w.shape[1] > HELD_SUMS:
                 yield batch_of(out())
     if moments is not None:
         rows = out()
@@ -274,8 +300,8 @@ def _pair_values(points: pa.Table, wanted: pa.Table) -> pa.Table:
     values = np.zeros(0)
     if points.num_rows and len(reps):
         w, v = _weights(points), points.column("v").to_numpy()
-        running = {rep: np.cumsum(w[:, rep], dtype=np.int64) for rep in np.unique(reps)}
-        values = v[[np.searchsorted(running[rep], place, "right") for rep, place in zip(reps, wanted.column("place").to_numpy(), strict=True)]]
+        # replicate by replicate: their running weights are not held together
+        values = v[[np.searchsorted(np.cumsum(w[:, rep], dtype=np.int64), place, "right") for rep, place in zip(reps, wanted.column("place").to_numpy(), strict=True)]]
     return pa.table([wanted.column("rep").slice(0, len(values)), wanted.column("end").slice(0, len(values)), pa.array(values, pa.float64())], names=["rep", "end", "value"])
 
 
@@ -288,8 +314,11 @@ def replicated_pairs(pairs: DataFrame, group: str, vectors: DataFrame) -> DataFr
     vectors = stored(vectors.select(F.col(group).cast("string").alias("grp"), "w"))
     points = pairs.select(F.col(group).cast("string").alias("grp"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     points = points.withColumn("v", F.col("y") - F.col("x")).where(F.col("v").isNotNull()).join(vectors.select("grp"), "grp").withColumn("_g", F.lit(0))
-    points = stored(cells(points, "v", CELL_ROWS).withColumnRenamed("_cell", "cell").drop("_g"))
-    sums = points.join(vectors, "grp").select("cell", "x", "y", "v", "w").mapInArrow(_pair_sums, "cell bigint, block int, n binary, m binary")
+    points = stored(_joined_cells(cells(points, "v", CELL_ROWS).withColumnRenamed("_cell", "cell"), ["_g"]).drop("_g"))
+    # the rows of a cell meet before they are summed, so that a block has a row for each of its cells and not for each task as well
+    weighted = points.join(vectors, "grp").repartition("cell", F.pmod(F.xxhash64("grp"), F.col("_parts"))).select("cell", "x", "y", "v", "w")
+    with arrow_rows(pairs.sparkSession, 512):
+        sums = stored(weighted.mapInArrow(_pair_sums, "cell bigint, block int, n binary, m binary"))
     places = stored(sums.groupBy("block").applyInArrow(_pair_places, "rep bigint, bias double, ccc double, lo_cell bigint, lo_place bigint, hi_cell bigint, hi_place bigint"))
     ends = F.explode(F.array(*[F.struct(F.lit(k).alias("end"), F.col(f"{k}_cell").alias("cell"), F.col(f"{k}_place").alias("place")) for k in ("lo", "hi")]))
     wanted = places.select("rep", ends.alias("e")).select("rep", "e.*")
