@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from sparkgauge.operators import joins
+from sparkgauge.plans import matching
 from sparkgauge.session import stored
 
 
@@ -63,3 +64,14 @@ def test_stored_leaves_no_shuffle_files(spark):
     while (left := shuffled() - before) and time.time() < until:
         time.sleep(0.2)
     assert not left
+
+
+def test_sides_read_their_texts_once(spark, tmp_path):
+    """Texts meet their class in one stored table that both sides of the assignment and their equal texts read."""
+    rows = [(k, f"some words of text number {k % 9} stand here") for k in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).write.parquet(str(tmp_path / "documents.parquet"))
+    left, right, pairs = matching._sides(spark, str(tmp_path))
+    assert sorted(map(tuple, left.collect())) == [(k, k % 9) for k in range(0, 30, 2)]
+    assert {(x.a, x.b) for x in pairs.collect()} >= {(k, k) for k in range(9)}
+    for side in (left, right, pairs):
+        assert "text" not in side._jdf.queryExecution().optimizedPlan().toString()
